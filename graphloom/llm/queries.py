@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .line_dedup import dedup_lines, line_dedup_sql
+from .ngram_join import shingle_components, shingle_components_sql
 from .secret_scan import find_secrets, scan_digest, secrets_sql
 from .sharding import assign_shards, sharding_sql
 
@@ -15,6 +16,10 @@ from .sharding import assign_shards, sharding_sql
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id")
     return assign_shards(docs, "doc_id", SHARDS)
@@ -32,6 +37,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_sharding": op2_sharding,
         "op3_line_dedup": op3_line_dedup,
         "op7_secret_scan": op7_secret_scan,
@@ -40,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": shingle_components_sql("documents"),
         "op2_sharding": sharding_sql("documents", "doc_id", "doc_id", SHARDS),
         "op3_line_dedup": line_dedup_sql("documents"),
         "op7_secret_scan": secrets_sql("documents"),
