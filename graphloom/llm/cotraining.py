@@ -25,7 +25,8 @@ from .common import cut
 from .text_stats import RATIOS, text_stats
 
 ROUNDS = 2
-NEWTON_STEPS = 6
+#: Passes over the features: at first, in each round, and for the combination.
+FIRST_PASSES, ROUND_PASSES, LAST_PASSES = 10, 5, 6
 RIDGE = 1.0
 #: A view labels a document for the other one if it gives one class at least this probability.
 CONFIDENT = 0.95
@@ -34,7 +35,7 @@ PSEUDO_WEIGHT = 0.3
 SOURCE_BUCKETS = 16
 LANGUAGES = ("en", "de", "fr", "es")
 #: Documents with at least this combined probability of good quality are kept.
-KEEP_FROM = 0.5
+KEEP_FROM = 0.35
 
 
 def _text_view() -> list[Column]:
@@ -86,9 +87,12 @@ def _probability(odds: np.ndarray) -> np.ndarray:
 
 
 def _newton_parts(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    p = _probability(_odds(x, w))
+    """Loss, gradient and Hessian of the weighted logistic loss at w."""
+    odds = _odds(x, w)
+    p = _probability(odds)
     curve = weight * np.maximum(p * (1 - p), 1e-6)
-    return [x.T @ (weight * (p - y)), ((x * curve[:, None]).T @ x).ravel()]
+    loss = weight @ (np.logaddexp(0, odds) - y * odds)
+    return [np.array([loss]), x.T @ (weight * (p - y)), ((x * curve[:, None]).T @ x).ravel()]
 
 
 def _table(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -102,7 +106,6 @@ class Views:
     a: np.ndarray
     b: np.ndarray
     last: tuple[np.ndarray, np.ndarray] | None = None
-    last_stack: None = None
 
 
 def _view_sums(views: Views):
@@ -123,7 +126,7 @@ def _view_sums(views: Views):
                     target, weight = np.where(sure, np.round(p), target), np.where(sure, PSEUDO_WEIGHT, weight)
                 used = weight > 0
                 parts += _newton_parts(x[used], target[used], weight[used], w)
-            sums = np.concatenate([*parts, [known.sum(), (known & (y == 1)).sum()]])
+            sums = np.concatenate([*parts, [known.sum()]])
             total = sums if total is None else total + sums
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
@@ -167,11 +170,28 @@ def _total(table: DataFrame, run) -> np.ndarray | None:
     return np.sum([np.frombuffer(r["sums"], np.float64) for r in rows], axis=0) if rows else None
 
 
-def _step(w: np.ndarray, grad: np.ndarray, hessian: np.ndarray, ridge: float) -> np.ndarray:
-    pull = np.full(len(w), ridge)
-    pull[0] = 1e-6
-    move = np.linalg.solve(hessian.reshape(len(w), len(w)) + np.diag(pull), grad + pull * w)
-    return w - np.clip(move, -5, 5)
+class _Newton:
+    """Newton steps with a ridge that are halved until the loss falls; it needs one pass for each point tried."""
+
+    def __init__(self, w: np.ndarray) -> None:
+        self.at = self.best = w
+        self.least, self.move = np.inf, np.zeros(len(w))
+        self.pull = np.full(len(w), RIDGE)
+        self.pull[0] = 1e-6
+
+    def restart(self) -> None:
+        """The loss is another one from now on."""
+        self.at, self.least = self.best, np.inf
+
+    def see(self, sums: np.ndarray) -> None:
+        n = len(self.at)
+        loss = sums[0] + 0.5 * self.pull @ self.at**2
+        if loss <= self.least:
+            self.best, self.least = self.at, loss
+            self.move = np.linalg.solve(sums[1 + n :].reshape(n, n) + np.diag(self.pull), sums[1 : 1 + n] + self.pull * self.at)
+        else:
+            self.move = self.move / 4
+        self.at = self.best - self.move
 
 
 @dataclass
@@ -206,22 +226,26 @@ def fit(table: DataFrame, rounds: int = ROUNDS) -> CoTrained:
     """Both views and their combination from the rows of features(). Without labels every score is one half."""
     first = table.select(F.size("xa").alias("a"), F.size("xb").alias("b")).first()
     da, db = (first["a"], first["b"]) if first else (1, 1)
-    views = Views(np.zeros(da), np.zeros(db))
-    stack = [np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.array([0.0, 0.5, 0.5])]
-    ends = np.cumsum([da, da * da, db, db * db])
+    even = (np.array([0.0, 1.0]), np.array([0.0, 1.0])), np.array([0.0, 0.5, 0.5])
+    a, b, last = _Newton(np.zeros(da)), _Newton(np.zeros(db)), None
     for turn in range(rounds + 1):
-        for _ in range(NEWTON_STEPS if not turn else NEWTON_STEPS // 2):
-            sums = _total(table, _view_sums(views))
-            if sums is None or not sums[-2]:
-                return CoTrained(Views(np.zeros(da), np.zeros(db)), (stack[0], stack[1]), stack[2])
-            ga, ha, gb, hb, _ = np.split(sums, ends)
-            views.a, views.b = _step(views.a, ga, ha, RIDGE), _step(views.b, gb, hb, RIDGE)
-        views.last = (views.a, views.b)
-    for _ in range(NEWTON_STEPS // 2):
-        sums = _total(table, _stack_sums(views, stack))
-        parts = np.split(sums, np.cumsum([2, 4, 2, 4, 3]))
-        stack = [_step(w, parts[2 * k], parts[2 * k + 1], RIDGE) for k, w in enumerate(stack)]
-    return CoTrained(views, (stack[0], stack[1]), stack[2])
+        for _ in range(ROUND_PASSES if turn else FIRST_PASSES):
+            sums = _total(table, _view_sums(Views(a.at, b.at, last)))
+            if sums is None or not sums[-1]:
+                return CoTrained(Views(np.zeros(da), np.zeros(db)), *even)
+            cut_at = 1 + da + da * da
+            a.see(sums[:cut_at])
+            b.see(sums[cut_at:-1])
+        last = (a.best, b.best)
+        a.restart()
+        b.restart()
+    views = Views(a.best, b.best)
+    stack = [_Newton(w) for w in (*even[0], even[1])]
+    for _ in range(LAST_PASSES):
+        sums = _total(table, _stack_sums(views, [s.at for s in stack]))
+        for s, part in zip(stack, np.split(sums, [7, 14]), strict=True):
+            s.see(part)
+    return CoTrained(views, (stack[0].best, stack[1].best), stack[2].best)
 
 
 def classify_quality(

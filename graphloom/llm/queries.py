@@ -13,6 +13,7 @@ from .decision_list import apply_rules
 from .line_dedup import dedup_lines, line_dedup_sql
 from .ngram_join import shingle_components, shingle_components_sql
 from .secret_scan import find_secrets, scan_digest, secrets_sql
+from .packing import pack_documents, word_tokenizer
 from .sharding import assign_shards, sharding_sql
 from .telephony import digest_media, store_texts
 from .url_filter import HostRule, filter_urls
@@ -29,7 +30,7 @@ URL_RULES = (
     HostRule("allow", "org", "/fr/"),
 )
 #: Labelled URLs: a host with one of these words is a known bad one, the others are the background.
-BAD_HOST_WORDS = ("casino", "pills", "bets", "ads", "track", "adult", "porn")
+BAD_HOST_WORDS = ("casino", "pills", "bets", "ads", "track", "spam", "adult", "porn")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,18 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, word_tokenizer(spark, tokenizer_path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -82,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_cotraining": op6_cotraining,
         "op7_secret_scan": op7_secret_scan,
         "op8_decision_list": op8_decision_list,
+        "op9_packing": op9_packing,
     }
 
 
