@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_texts, load_ranks
 from .common import read
 from .cotraining import classify_quality
 from .decision_list import apply_rules
@@ -85,6 +86,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, word_tokenizer(spark, tokenizer_path("word_bpe_49k.json")))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, load_ranks(tokenizer_path("byte_bpe_50k.tiktoken")), PATTERN, arrays=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -96,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_scan": op7_secret_scan,
         "op8_decision_list": op8_decision_list,
         "op9_packing": op9_packing,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
