@@ -1,2 +1,562 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries over the driver's tables, one for each operator, and the SQL that they are checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import names, text
+from graphloom.operators import diagrams, graph, history, metrics, model, query, resolve, rules, secrets, snippets, store, symbols
+from graphloom.plans.derived import Derived, oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None):
+    """Register a function of the derived tables as a query by its own name."""
+
+    def wrap(run: Callable[[Derived], DataFrame]) -> Callable[[Derived], DataFrame]:
+        _QUERIES[run.__name__] = lambda spark, sf_dir: run(Derived(spark, sf_dir))
+        if sql:
+            _SQL[run.__name__] = sql
+        return run
+
+    return wrap
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+COUNTS = ("file_count", "export_count", "dependency_count", "reverse_dependency_count")
+SUMMARY = "SELECT name, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in COUNTS) + " FROM summaries"
+CQL = "SELECT modules WHERE dependency_count >= 1 AND fan_out >= 1"
+CQL_NAMED = "SELECT modules WHERE name CONTAINS 'BRAND#1' AND reverse_dependency_count > 0 AND fan_in != 3"
+CQL_DEPTH = "SELECT modules WHERE depth >= 2 AND file_count < 3"
+
+
+def _exports(d: Derived) -> DataFrame:
+    return d.definitions.filter("exported")
+
+
+# Modules, edges and the query language.
+
+
+@_register(oracle(SUMMARY, "summaries"))
+def list_modules(d: Derived) -> DataFrame:
+    return _longs(query.list_modules(query.module_summaries(d.modules, d.edges, _exports(d))), *COUNTS)
+
+
+@_register(oracle(SUMMARY + " WHERE contains(lower(name), 'brand#3')", "summaries"))
+def filtered_modules(d: Derived) -> DataFrame:
+    return _longs(query.list_modules(query.module_summaries(d.modules, d.edges, _exports(d)), "Brand#3"), *COUNTS)
+
+
+@_register(oracle(SUMMARY + " JOIN fans USING (name) WHERE dependency_count >= 1 AND fan_out >= 1", "summaries", "fans"))
+def cql_modules(d: Derived) -> DataFrame:
+    return _longs(query.run_cql(CQL, d.modules, d.edges, _exports(d)), *COUNTS)
+
+
+@_register(oracle(SUMMARY + " JOIN fans USING (name) WHERE contains(lower(name), 'brand#1') AND reverse_dependency_count > 0 AND fan_in <> 3", "summaries", "fans"))
+def cql_named(d: Derived) -> DataFrame:
+    return _longs(query.run_cql(CQL_NAMED, d.modules, d.edges, _exports(d)), *COUNTS)
+
+
+@_register(oracle(SUMMARY + " JOIN depths USING (name) WHERE depth >= 2 AND file_count < 3", "summaries", "depths"))
+def cql_depth(d: Derived) -> DataFrame:
+    return _longs(query.run_cql(CQL_DEPTH, d.modules, d.edges, _exports(d)), *COUNTS)
+
+
+@_register(oracle("SELECT src, dst, path, CAST(line AS BIGINT) AS line FROM inner_edges", "inner_edges"))
+def internal_edges(d: Derived) -> DataFrame:
+    return _longs(model.internal_edges(d.edges, d.modules).select("src", "dst", "path", "line"), "line")
+
+
+@_register(oracle("SELECT src, dst, path, CAST(line AS BIGINT) AS line FROM edges WHERE dst NOT IN (SELECT name FROM modules)", "edges", "modules"))
+def external_edges(d: Derived) -> DataFrame:
+    return _longs(model.external_edges(d.edges, d.modules).select("src", "dst", "path", "line"), "line")
+
+
+@_register(oracle("SELECT src, count(*) AS external_count FROM edges WHERE dst NOT IN (SELECT name FROM modules) GROUP BY src", "edges", "modules"))
+def external_counts(d: Derived) -> DataFrame:
+    return model.external_counts(d.edges, d.modules)
+
+
+_HUB = "(SELECT src FROM inner_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
+_HUB_IN = "(SELECT dst FROM inner_edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"
+
+
+def _hub(d: Derived, column: str) -> str:
+    """The module with most edges at one end."""
+    inner = model.internal_edges(d.edges, d.modules)
+    return inner.groupBy(column).count().orderBy(F.col("count").desc(), column).first()[0]
+
+
+@_register(
+    oracle(
+        f"""SELECT h AS name, (SELECT string_agg(path, ',' ORDER BY path) FROM files WHERE module = h) AS files,
+        coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM exports WHERE module = h), '') AS exports,
+        coalesce((SELECT string_agg(dst || '@' || path || ':' || line, ',' ORDER BY dst, path, line) FROM edges WHERE src = h), '') AS dependencies,
+        coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM edges WHERE dst = h AND src <> h), '') AS reverse_dependencies FROM (SELECT {_HUB} AS h)""",
+        "inner_edges", "exports",
+    )
+)
+def module_details(d: Derived) -> DataFrame:
+    row = query.module_details(_hub(d, "src"), d.files, d.edges, d.definitions)
+    shown = F.transform("dependencies", lambda x: F.concat(x["to"], F.lit("@"), x["path"], F.lit(":"), x["line"].cast("string")))
+    return row.select("name", *[F.array_join(c, ",").alias(c) for c in ("files", "exports")], F.array_join(shown, ",").alias("dependencies"), F.array_join("reverse_dependencies", ",").alias("reverse_dependencies"))
+
+
+# Metrics.
+
+
+@_register(oracle("SELECT name, CAST(fan_in AS BIGINT) AS fan_in, CAST(fan_out AS BIGINT) AS fan_out FROM fans", "fans"))
+def fan_metrics(d: Derived) -> DataFrame:
+    return _longs(metrics.fan_metrics(d.edges, d.modules), "fan_in", "fan_out")
+
+
+@_register(oracle("SELECT round(avg(fan_in), 6) AS avg_fan_in, round(avg(fan_out), 6) AS avg_fan_out, max(fan_in) AS max_fan_in, max(fan_out) AS max_fan_out FROM fans", "fans"))
+def fan_summary(d: Derived) -> DataFrame:
+    s = metrics.fan_summary(metrics.fan_metrics(d.edges, d.modules))
+    return _longs(s.withColumns({c: F.round(c, 6) for c in ("avg_fan_in", "avg_fan_out")}), "max_fan_in", "max_fan_out")
+
+
+_IMPORTANCE = """SELECT name, fan_in * 2.0 + fan_out + 0.5 * coalesce(c.score, 0)
+  + CASE WHEN regexp_matches(name, 'api|gateway|handler|server|service') THEN 10 ELSE 0 END AS importance
+  FROM fans LEFT JOIN (SELECT module AS name, max(score) AS score FROM scored GROUP BY module) c USING (name)"""
+
+
+@_register(oracle(f"SELECT name, CAST(importance AS DOUBLE) AS importance FROM ({_IMPORTANCE})", "fans", "scored"))
+def importance(d: Derived) -> DataFrame:
+    return metrics.module_metrics(d.edges, d.modules, d.definitions, ("importance",))
+
+
+@_register(oracle(f"SELECT name, CAST(importance AS DOUBLE) AS score FROM ({_IMPORTANCE}) WHERE importance >= 5 ORDER BY importance DESC, name LIMIT 20", "fans", "scored"))
+def metric_leaders(d: Derived) -> DataFrame:
+    return metrics.leaders(metrics.module_metrics(d.edges, d.modules, d.definitions, ("importance",)), F.col("importance"), 20, 5)
+
+
+@_register(oracle("SELECT name, CAST(depth AS BIGINT) AS depth FROM depths", "depths"))
+def module_depth(d: Derived) -> DataFrame:
+    return _longs(metrics.module_depths(d.edges, d.modules), "depth")
+
+
+@_register(oracle("SELECT module, name, path, CAST(score AS BIGINT) AS score, CAST(loc AS BIGINT) AS loc FROM best", "best"))
+def best_definition(d: Derived) -> DataFrame:
+    return _longs(model.best_definitions(d.definitions).select("module", "name", "path", "score", "loc"), "score", "loc")
+
+
+@_register(
+    oracle(
+        """SELECT module, name AS definition, path, CAST(CASE WHEN score = 0 THEN 1 ELSE score END AS BIGINT) AS score, CAST(loc AS BIGINT) AS loc
+        FROM best WHERE kind IN (0, 2) AND loc > 0 ORDER BY score DESC, module, definition, path LIMIT 25""",
+        "best",
+    )
+)
+def top_complexity(d: Derived) -> DataFrame:
+    return _longs(metrics.top_complexity(d.definitions, 25).select("module", "definition", "path", "score", "loc"), "score", "loc")
+
+
+@_register(
+    oracle(
+        """SELECT module, CAST(max(score) AS BIGINT) AS score FROM (SELECT module, name, path, CASE WHEN score = 0 THEN 1 ELSE score END AS score
+        FROM best WHERE kind IN (0, 2) AND loc > 0 ORDER BY 4 DESC, module, name, path LIMIT 200) GROUP BY module""",
+        "best",
+    )
+)
+def hotspot_by_module(d: Derived) -> DataFrame:
+    return _longs(diagrams.hotspot_by_module(metrics.top_complexity(d.definitions, 200)), "score")
+
+
+# Graph operators.
+
+
+@_register(oracle("SELECT node, component, CAST(size AS BIGINT) AS size FROM comps WHERE node IN (SELECT src FROM inner_edges UNION SELECT dst FROM inner_edges)", "comps"))
+def scc_components(d: Derived) -> DataFrame:
+    return graph.components_and_depths(model.internal_edges(d.edges, d.modules)).select("node", "component", "size")
+
+
+@_register(oracle("SELECT DISTINCT a AS node FROM reach WHERE a = b", "reach(a, b)"))
+def modules_in_cycles(d: Derived) -> DataFrame:
+    return graph.modules_in_cycles(model.internal_edges(d.edges, d.modules))
+
+
+@_register()
+def detect_cycles(d: Derived) -> DataFrame:
+    found = graph.detect_cycles(model.internal_edges(d.edges, d.modules))
+    return found.select("cycle_id", F.array_join("cycle", ">").alias("cycle"))
+
+
+def _far(d: Derived) -> tuple[str, str]:
+    """The hub and the farthest module that it reaches."""
+    hub = _hub(d, "src")
+    start = d.spark.createDataFrame([(hub,)], "node string")
+    inner = model.internal_edges(d.edges, d.modules)
+    return hub, graph.levels(inner, start).orderBy(F.col("depth").desc(), "node").first()["node"]
+
+
+
+
+@_register()
+def import_chain(d: Derived) -> DataFrame:
+    start, end = _far(d)
+    chain = graph.import_chain(d.edges, d.modules, start, end)
+    return d.spark.createDataFrame([(start, end, len(chain) - 1, ">".join(chain))], "start string, end string, depth long, chain string")
+
+
+@_register(oracle("SELECT node AS name, CAST(min(d) AS BIGINT) AS depth FROM flows GROUP BY node", "inner_edges", more=f"""flows(node, d) AS (SELECT {_HUB}, 0
+  UNION SELECT e.dst, f.d + 1 FROM flows f JOIN inner_edges e ON f.node = e.src WHERE f.d < 6)"""))
+def flow_bfs(d: Derived) -> DataFrame:
+    entry = d.spark.createDataFrame([(_hub(d, "src"),)], "node string")
+    return _longs(graph.flow(d.edges, d.modules, entry, 6)[0].select("name", "depth"), "depth")
+
+
+_ABOVE = f"above(n) AS (SELECT src FROM edges WHERE dst = {_HUB_IN} UNION SELECT e.src FROM above a JOIN edges e ON e.dst = a.n)"
+
+
+@_register(
+    oracle(
+        f"""SELECT src AS name, 'direct' AS kind FROM edges WHERE dst = {_HUB_IN} UNION SELECT n, 'transitive' FROM above WHERE n NOT IN (SELECT src FROM edges WHERE dst = {_HUB_IN})
+        UNION SELECT name, 'symbol' FROM exports WHERE module = {_HUB_IN}""",
+        "inner_edges", "exports", more=_ABOVE,
+    )
+)
+def impact(d: Derived) -> DataFrame:
+    return graph.impact(d.edges, d.definitions, _hub(d, "dst"))
+
+
+@_register(
+    oracle(f"SELECT path FROM files WHERE module IN (SELECT n FROM above) UNION SELECT min(path) FROM files WHERE module = {_HUB_IN}", "inner_edges", more=_ABOVE)
+)
+def invalidate_transitive(d: Derived) -> DataFrame:
+    hub = _hub(d, "dst")
+    changed = d.files.filter(F.col("module") == hub).agg(F.min("path")).first()[0]
+    return graph.invalidated_files(d.edges, d.files, changed)
+
+
+# Architecture rules. Layers are brands; a layer may use the brands with its own first digit.
+
+_LAYERS = "layers AS (SELECT DISTINCT lower(p_brand) AS layer FROM part)"
+_LAYER_OF = "laid AS (SELECT name, substr(name, 1, instr(name, '/') - 1) AS layer FROM modules)"
+_BAD = """bad AS (SELECT 'rule-' || a.layer AS rule, e.src AS from_module, a.layer AS from_layer, e.dst AS to_module, b.layer AS to_layer, e.path, e.line
+  FROM inner_edges e JOIN laid a ON e.src = a.name JOIN laid b ON e.dst = b.name WHERE substr(a.layer, 1, 7) <> substr(b.layer, 1, 7) OR a.layer = b.layer)"""
+
+
+def _layers(d: Derived) -> tuple[DataFrame, DataFrame]:
+    brands = d.read("part").select(F.lower("p_brand").alias("name")).distinct()
+    layers = brands.select("name", F.lit(0).alias("ord"), F.when(F.col("name").endswith("1"), F.concat("name", F.lit("/**"))).otherwise(F.col("name")).alias("pattern"))
+    pairs = brands.alias("a").join(brands.alias("b"), (F.substring("a.name", 1, 7) == F.substring("b.name", 1, 7)) & (F.col("a.name") != F.col("b.name")), "left")
+    allow = pairs.groupBy(F.col("a.name").alias("from_layer")).agg(F.collect_list("b.name").alias("allow"))
+    return layers, allow.select(F.concat(F.lit("rule-"), "from_layer").alias("name"), "from_layer", "allow")
+
+
+def _violations(d: Derived) -> tuple[DataFrame, DataFrame]:
+    layers, allowed = _layers(d)
+    assigned = rules.layer_assignment(d.modules, layers)
+    return assigned, rules.layer_violations(d.edges, d.modules, assigned, allowed)
+
+
+@_register(oracle("SELECT name, layer FROM laid", "modules", more=_LAYER_OF))
+def layer_assignment(d: Derived) -> DataFrame:
+    return rules.layer_assignment(d.modules, _layers(d)[0])
+
+
+@_register(oracle("SELECT rule, from_module, from_layer, to_module, to_layer, path, CAST(line AS BIGINT) AS line FROM bad", "inner_edges", more=_LAYER_OF + ", " + _BAD))
+def layer_violations(d: Derived) -> DataFrame:
+    return _longs(_violations(d)[1].drop("col"), "line")
+
+
+@_register(
+    oracle(
+        """SELECT from_layer, to_layer, coalesce(n, 0) AS edge_count, coalesce(v, 0) AS violation_count
+        FROM (SELECT a.layer AS from_layer, b.layer AS to_layer, count(*) AS n FROM inner_edges e JOIN laid a ON e.src = a.name JOIN laid b ON e.dst = b.name WHERE a.layer <> b.layer GROUP BY ALL)
+        FULL JOIN (SELECT from_layer, to_layer, count(*) AS v FROM bad GROUP BY ALL) USING (from_layer, to_layer)""",
+        "inner_edges", more=_LAYER_OF + ", " + _BAD,
+    )
+)
+def layer_dependencies(d: Derived) -> DataFrame:
+    assigned, bad = _violations(d)
+    return rules.layer_dependencies(d.edges, d.modules, assigned, bad)
+
+
+def _package_rules(d: Derived) -> DataFrame:
+    rows = [
+        ("small", ["brand#1*/**", "brand#2*/**"], 1, [], [], False, []),
+        ("closed", ["brand#3*/**"], 0, ["brand#3*/*", "brand#4*/*"], ["brand#41"], False, []),
+    ]
+    return d.spark.createDataFrame(rows, "name string, modules array<string>, max_files int, allow array<string>, deny array<string>, exclude_tests boolean, exclude_files array<string>")
+
+
+_PACKAGE = """package AS (SELECT 'small' AS rule, 'file_count' AS type, name AS module, '' AS target, '' AS path, 0 AS line, CAST(file_count AS BIGINT) AS actual, CAST(1 AS BIGINT) AS max_allowed
+  FROM modules WHERE regexp_matches(name, '^brand#[12]') AND file_count > 1
+  UNION ALL SELECT 'closed', 'import', src, dst, path, line, NULL, NULL FROM inner_edges
+  WHERE regexp_matches(src, '^brand#3') AND src <> dst AND (starts_with(dst, 'brand#41/') OR NOT regexp_matches(dst, '^brand#[34]')))"""
+
+
+@_register(oracle("SELECT rule, type, module, target, path, CAST(line AS BIGINT) AS line, actual, max_allowed FROM package", "inner_edges", more=_PACKAGE))
+def package_violations(d: Derived) -> DataFrame:
+    found = rules.package_violations(d.files, d.edges, d.modules, _package_rules(d))
+    return _longs(found.drop("col").withColumnRenamed("limit", "max_allowed"), "line")
+
+
+@_register(
+    oracle(
+        """SELECT CAST(2 AS BIGINT) AS rule_count, (SELECT count(*) FROM modules WHERE regexp_matches(name, '^brand#[123]')) AS evaluated_modules, count(*) AS violation_count,
+        count(*) FILTER (type = 'file_count') AS file_count_violations, count(*) FILTER (type = 'import') AS import_violations FROM package""",
+        "inner_edges", more=_PACKAGE,
+    )
+)
+def rule_summary(d: Derived) -> DataFrame:
+    r = _package_rules(d)
+    return rules.rule_summary(d.modules, r, rules.package_violations(d.files, d.edges, d.modules, r))
+
+
+# Symbols and resolution.
+
+
+
+def _service_sql(column: str) -> str:
+    """The service key by eight rounds of suffix cuts, more than any name here has."""
+    base = f"lower(regexp_replace({column}, '[^\\p{{L}}\\p{{Nd}}]', '', 'g'))"
+    for _ in range(8):
+        cases = " ".join(f"WHEN ends_with(v, '{s}') AND length(v) > {len(s) + 2} THEN left(v, length(v) - {len(s)})" for s in names.SERVICE_SUFFIXES)
+        base = f"(SELECT CASE {cases} ELSE v END FROM (SELECT {base} AS v))"
+    return base
+
+
+@_register(f"SELECT DISTINCT p_name AS name, lower(regexp_replace(p_name, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS canonical, {_service_sql('p_name')} AS service_key FROM part")
+def symbol_keys(d: Derived) -> DataFrame:
+    name = F.col("name")
+    return d.read("part").select(F.col("p_name").alias("name")).distinct().select("name", names.canonical(name).alias("canonical"), names.service_key(name).alias("service_key"))
+
+
+@_register(
+    oracle(
+        """SELECT path, name, CAST(line AS BIGINT) AS line, usage_tag, confidence FROM (
+        SELECT path, name, seq + 1 AS line, 'SYM_DEF' AS usage_tag, CAST(1.0 AS DOUBLE) AS confidence, 0 AS o, seq FROM definitions UNION ALL
+        SELECT path, name, line, CASE WHEN contains(context, '|') THEN split_part(context, '|', 1) WHEN context <> '' THEN 'REF_' || upper(context) ELSE '' END,
+          CASE WHEN starts_with(context, 'REF_CALL|') THEN 0.9 WHEN context <> '' THEN 0.6 ELSE 0.0 END, 1, seq FROM refs)
+        QUALIFY row_number() OVER (PARTITION BY path, name, line ORDER BY confidence DESC, o, seq) = 1""",
+        "definitions", "refs",
+    )
+)
+def symbol_rows(d: Derived) -> DataFrame:
+    return _longs(symbols.symbol_rows(d.definitions, d.references, d.files).select("path", "name", "line", "usage_tag", "confidence"), "line")
+
+
+@_register(oracle("SELECT module, name, path FROM best WHERE lower(name) = 'fn3' OR lower(regexp_replace(full_name, '[^A-Za-z0-9]', '', 'g')) = 'fn3'", "best"))
+def symbol_lookup(d: Derived) -> DataFrame:
+    return symbols.lookup(symbols.symbol_table(d.definitions, d.files), "Fn.3").select("module", "name", "path")
+
+
+def _resolution(d: Derived) -> DataFrame:
+    files = d.files.withColumn("local_symbols", F.array().cast("array<string>"))
+    imports = _file_imports(d)
+    return resolve.assess(d.references, files, imports, d.definitions, symbols.symbol_table(d.definitions, d.files))
+
+
+def _file_imports(d: Derived) -> DataFrame:
+    """Each edge as an import of its module's first file, with the items of odd targets."""
+    first = d.files.filter("k = 0").select("module", "path")
+    edges = d.edges.select(F.col("src").alias("module"), F.col("dst").alias("target"), "line")
+    part = F.split("target", "/")[1]
+    items = F.when(part.cast("int") % 2 == 1, F.array(F.concat(F.lit("Fn"), (part.cast("int") % 7).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return edges.join(first, "module").select("path", "module", F.col("line").alias("seq"), "target", F.lit("").alias("alias"), items.alias("items"), "line", F.lit(0).alias("col"))
+
+
+@_register()
+def resolved_references(d: Derived) -> DataFrame:
+    return _longs(_resolution(d).select("path", "seq", "name", "status", "score", "confidence", F.array_join("reasons", ",").alias("reasons")), "seq", "score")
+
+
+@_register()
+def unresolved_references(d: Derived) -> DataFrame:
+    return resolve.unresolved(_resolution(d)).select("path", "name", "context")
+
+
+@_register()
+def probable_bridges(d: Derived) -> DataFrame:
+    return resolve.probable_bridges(_resolution(d)).select("path", "name", "context", F.col("score").cast("long").alias("score"))
+
+
+@_register(
+    oracle(
+        """SELECT path, target, item, confidence FROM (SELECT f.path, f.language, e.dst AS target, e.t, CASE WHEN e.t % 2 = 1 THEN 'Fn' || (e.t % 7) ELSE '' END AS item,
+            CASE WHEN e.t % 2 = 1 THEN 'high' ELSE 'medium' END AS confidence,
+            CASE WHEN f.language = 'python' THEN e.dst ELSE split_part(e.dst, '/', 2) END AS base
+          FROM (SELECT *, CAST(split_part(dst, '/', 2) AS INT) AS t FROM edges) e JOIN files f ON f.module = e.src AND f.k = 0) i
+        WHERE NOT (language = 'javascript' AND item = '') AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.path = i.path AND (
+          CASE WHEN i.item = '' THEN r.name = i.base OR starts_with(r.name, i.base || '(') OR ends_with(r.name, '.' || i.base) OR contains(r.name, i.base || '.')
+          ELSE r.name = i.item OR starts_with(r.name, i.item || '(') OR ends_with(r.name, '.' || i.item) OR contains(r.name, i.item || '.')
+            OR r.name = i.base || '.' || i.item OR contains(r.name, i.base || '.' || i.item || '.') OR ends_with(r.name, '.' || i.base || '.' || i.item) END))""",
+        "edges", "refs",
+    )
+)
+def unused_imports(d: Derived) -> DataFrame:
+    return resolve.unused_imports(_file_imports(d), d.references, d.files).select("path", "target", "item", "confidence")
+
+
+# History.
+
+_TREND = """SELECT project_key, ts, coalesce(module_count - lag(module_count) OVER w, 0) AS delta_modules, coalesce(cycle_count - lag(cycle_count) OVER w, 0) AS delta_cycles,
+  CASE WHEN coalesce(lag(module_count) OVER w, 0) = 0 THEN 0 ELSE sign(module_count - lag(module_count) OVER w)
+    * floor(abs((module_count - lag(module_count) OVER w) * 100.0::DOUBLE / lag(module_count) OVER w) * 100 + 0.5) / 100 END AS module_growth_pct
+  FROM snapshots WINDOW w AS (PARTITION BY project_key ORDER BY ts, commit_hash)"""
+
+
+def _snapshots(d: Derived) -> DataFrame:
+    zeros = {c: F.lit(0) for c in ("unused_import_count", "violation_count", "hotspot_count")}
+    return d.snapshots.withColumns(zeros | {"avg_fan_in": F.lit(0.0), "avg_fan_out": F.lit(0.0)})
+
+
+@_register(oracle(f"SELECT project_key, ts, CAST(delta_modules AS BIGINT) AS delta_modules, CAST(delta_cycles AS BIGINT) AS delta_cycles, CAST(module_growth_pct AS DOUBLE) AS module_growth_pct FROM ({_TREND})", "snapshots"))
+def trend_deltas(d: Derived) -> DataFrame:
+    return _longs(history.trend_deltas(_snapshots(d)).select("project_key", "ts", "delta_modules", "delta_cycles", "module_growth_pct"), "delta_modules", "delta_cycles")
+
+
+@_register(
+    oracle(
+        """SELECT project_key, ts, floor(avg(cycle_count) OVER w * 100 + 0.5) / 100 AS avg_cycles, floor(avg(unresolved_count) OVER w * 100 + 0.5) / 100 AS avg_unresolved
+        FROM snapshots WINDOW w AS (PARTITION BY project_key ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)""",
+        "snapshots",
+    )
+)
+def trend_moving_avg(d: Derived) -> DataFrame:
+    return history.moving_averages(_snapshots(d), timedelta(hours=24)).select("project_key", "ts", "avg_cycles", "avg_unresolved")
+
+
+@_register(oracle("SELECT project_key, ts, CAST(module_count AS BIGINT) AS module_count FROM snapshots QUALIFY row_number() OVER (PARTITION BY project_key ORDER BY ts DESC) <= 5", "snapshots"))
+def trend_tail(d: Derived) -> DataFrame:
+    return _longs(query.trend_slice(d.snapshots, limit=5).select("project_key", "ts", "module_count"), "module_count")
+
+
+@_register(
+    oracle("SELECT project_key, ts, CAST(CASE WHEN date_part('hour', ts) % 2 = 0 THEN module_count + 1000 ELSE module_count END AS BIGINT) AS module_count FROM snapshots", "snapshots")
+)
+def snapshot_upsert(d: Derived) -> DataFrame:
+    new = d.snapshots.filter(F.hour("ts") % 2 == 0).withColumn("module_count", F.col("module_count") + 1000)
+    return _longs(history.upsert_snapshots(d.snapshots, new).select("project_key", "ts", "module_count"), "module_count")
+
+
+# Secrets, over documents as files.
+
+CUSTOM = secrets.Settings(patterns=(secrets.Pattern("hex-40", f"{secrets.BEFORE}[0-9a-f]{{40}}{secrets.AFTER}", "low"),))
+
+
+def _sources(d: Derived) -> DataFrame:
+    return d.read("documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".env")).alias("path"), F.col("text").alias("content"))
+
+
+_LINES = """lines AS (SELECT 'doc/' || doc_id || '.env' AS file, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents)"""
+_SOUND = "NOT regexp_matches(lower(value), 'example|sample|dummy|placeholder|changeme|notasecret|test')"
+_QUOTED = "SELECT file, line, substr(m, 2, length(m) - 2) AS value FROM (SELECT file, line, unnest(regexp_extract_all(t, '{}')) AS m FROM lines{})"
+
+
+@_register(f"WITH {_LINES} SELECT file, line, value, round(entropy(c), 6) AS entropy FROM (SELECT file, line, value, unnest(string_split(value, '')) AS c FROM (SELECT file, line, unnest(regexp_extract_all(t, '\\b[0-9a-f]{{40}}\\b')) AS value FROM lines)) GROUP BY file, line, value")
+def secrets_pattern(d: Derived) -> DataFrame:
+    found = secrets.pattern_findings(secrets.file_lines(_sources(d)), CUSTOM)
+    return found.filter("kind = 'hex-40'").select("file", F.col("line").cast("long").alias("line"), "value", F.round("entropy", 6).alias("entropy"))
+
+
+_SENSITIVE_SQL = r"(?i)\b(password|passwd|pwd|secret|api[_-]?key|token|auth[_-]?token|access[_-]?key|private[_-]?key|client[_-]?secret)\b"
+
+
+@_register(
+    f"WITH {_LINES}, found AS ("
+    + _QUOTED.format('"[^"\\r\\n]{4,}"|\'\'[^\'\'\\r\\n]{4,}\'\'', f" WHERE regexp_matches(t, '{_SENSITIVE_SQL}')")
+    + f"), scored AS (SELECT file, line, value, entropy(c) AS e FROM (SELECT *, unnest(string_split(value, '')) AS c FROM found WHERE strlen(value) >= 20 AND {_SOUND}) GROUP BY ALL) "
+    + "SELECT file, line, value, CASE WHEN e >= 4.0 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence FROM scored WHERE e >= 3.2"
+)
+def secrets_context(d: Derived) -> DataFrame:
+    found = secrets.context_findings(secrets.file_lines(_sources(d)))
+    return found.select("file", F.col("line").cast("long").alias("line"), "value", "confidence").distinct()
+
+
+@_register()
+def secrets_detected(d: Derived) -> DataFrame:
+    return secrets.masked(secrets.detect(_sources(d), CUSTOM))
+
+
+@_register("SELECT DISTINCT p_name AS value, CASE WHEN strlen(p_name) <= 8 THEN repeat('*', strlen(p_name)) ELSE left(p_name, 4) || '...' || right(p_name, 4) END AS masked FROM part")
+def secrets_masked(d: Derived) -> DataFrame:
+    return d.read("part").select(F.col("p_name").alias("value")).distinct().select("value", text.mask(F.col("value")).alias("masked"))
+
+
+@_register(
+    """WITH r AS (SELECT o_custkey AS k, o_orderkey % 1000 AS s, o_orderkey % 1000 + o_orderkey % 17 AS e FROM orders),
+    m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+    g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM m)
+    SELECT CAST(k AS VARCHAR) AS path, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end" FROM g GROUP BY k, n"""
+)
+def merged_ranges(d: Derived) -> DataFrame:
+    start = F.col("o_orderkey") % 1000
+    rows = d.read("orders").select(F.col("o_custkey").cast("string").alias("path"), start.alias("start"), (start + F.col("o_orderkey") % 17).alias("end"))
+    return _longs(secrets.merged_ranges(rows), "start", "end")
+
+
+# Storage, snippets and diagrams.
+
+
+@_register("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)")
+def prune_paths(d: Derived) -> DataFrame:
+    stored = d.read("part").select(F.col("p_partkey").alias("path"), "p_name")
+    current = d.read("lineitem").filter("l_quantity >= 48").select(F.col("l_partkey").alias("path"))
+    return store.prune_to_paths(stored, current).withColumnRenamed("path", "p_partkey")
+
+
+@_register(
+    """SELECT doc_id, CAST(line AS BIGINT) AS line, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+    WHERE regexp_matches(substr(t, instr(t, 'License') - 1, 9), '^[^A-Za-z0-9_]License([^A-Za-z0-9_]|$)') AND instr(t, 'License') > 1 OR regexp_matches(t, '^License([^A-Za-z0-9_]|$)')"""
+)
+def symbol_context(d: Derived) -> DataFrame:
+    files = d.read("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return _longs(snippets.symbol_context(files, "License").select(F.col("path").alias("doc_id"), "line", "text"), "line")
+
+
+@_register(
+    oracle(
+        f"""SELECT substr(name, 1, instr(name, '/') - 1) AS grp, count(*) AS module_count, CAST(sum(file_count) AS BIGINT) AS file_count, CAST(sum(importance) AS DOUBLE) AS importance
+        FROM ({_IMPORTANCE}) JOIN modules USING (name) GROUP BY ALL""",
+        "fans", "scored", "modules",
+    )
+)
+def treemap(d: Derived) -> DataFrame:
+    tree = diagrams.treemap(metrics.module_metrics(d.edges, d.modules, d.definitions, ("importance",)), d.files)
+    total = F.aggregate("modules", F.lit(0.0), lambda a, m: a + m["importance"])
+    return tree.select(F.col("group").alias("grp"), "module_count", "file_count", total.alias("importance"))
+
+
+@_register(
+    oracle(
+        """SELECT split_part(e.src, '/', 1) AS src, split_part(e.dst, '/', 1) AS dst, count(*) AS edge_count, bool_or(b.from_module IS NOT NULL) AS violated
+        FROM inner_edges e LEFT JOIN bad b ON e.src = b.from_module AND e.dst = b.to_module WHERE split_part(e.src, '/', 1) <> split_part(e.dst, '/', 1) GROUP BY ALL""",
+        "inner_edges", more=_LAYER_OF + ", " + _BAD,
+    )
+)
+def c4_clusters(d: Derived) -> DataFrame:
+    return diagrams.cluster_edges(d.edges, d.modules, _violations(d)[1])
+
+
+@_register()
+def component_edges(d: Derived) -> DataFrame:
+    found = diagrams.component_edges(_file_imports(d), d.references, d.definitions, d.files, d.modules)
+    return _longs(found.withColumn("symbols", F.array_join("symbols", ",")), "import_count", "reference_count")
+
+
+@_register()
+def call_sequence(d: Derived) -> DataFrame:
+    entry = d.files.agg(F.min("module")).first()[0]
+    return diagrams.call_sequence(d.references, d.definitions, entry)
