@@ -4,19 +4,23 @@
 2. A count sketch of fixed size over all sets gives the shingles one global order, rare first. The order only
    steers the work: prefix filtering is exact under any order that all sets share.
 3. Sets that link share a shingle among the first ``n - ceil(percent * n / 100) + 1`` of each. These prefixes
-   are matched by shingle. Within one shingle, sets are merged in order of size into runs whose neighbours'
-   sizes allow a link, before the shuffle and again after it, so a shingle that a third of all documents
-   have sends a few runs for each task and never pairs. Runs give candidate components.
-4. A candidate component goes to one task, which joins its sets in a prefix tree. One that is too large is
+   are matched by shingle. A shingle's place in a set bounds the size of a larger partner that it may be the
+   first common shingle with. Within one shingle, sets are merged in order of size into runs that these bounds
+   connect, before the shuffle and again after it, so a shingle that a third of all documents have sends a few
+   runs for each task and never pairs. Runs give candidate components.
+4. A second look at the texts makes the sets of the candidates alone: a bitmap of fixed size passes over most
+   other texts before the shuffle, and the join with the candidates over the rest.
+5. A candidate component goes to one task, which joins its sets in a prefix tree. One that is too large is
    dealt by size band and hash into blocks, and each pair of blocks that can hold a link is one task.
-5. The links' components, with the copies of each set, are the result.
+6. The links' components, with the copies of each set, are the result.
 
-Texts, sets and links stay on the executors; only the sketch, which has a fixed size, passes the driver.
+Texts, sets and links stay on the executors; only the sketch and the bitmap, which have fixed sizes, pass the driver.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_width
 from .components import connected_components
-from .text_hash import SHINGLE, shingle_sets, signature
+from .text_hash import SHINGLE, mix, shingle_sets, signature
 from .trie_join import link_components
 
 PERCENT = 75
-#: Cells of the count sketch; 4 bytes each, so 8 MB whatever the corpus.
-CELLS = 1 << 21
+#: Cells of the count sketch; 4 bytes each, so 32 MB whatever the corpus.
+CELLS = 1 << 23
 PARTS = 32
+#: Bits of the bitmap of candidates: 4 MB. Where it is too full to hold any text back, the join does all of it.
+BITS = 1 << 25
 #: Prefix entries that a task gathers before it merges and sends them.
 ENTRIES = 1_000_000
 #: Weight of a block of a candidate component: a set weighs its shingles and SET_WEIGHT.
@@ -42,15 +48,17 @@ SET_WEIGHT = 250
 BAND_SLACK = 1.01
 
 
-def _features(percent: int, width: int):
+def _features(width: int, extra: int):
+    names = ["id", "n", "sig", "part", "cells", *[f"x{i}" for i in range(extra)]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, waiting, size = np.zeros(CELLS, np.uint32), [], 0
 
         def add() -> None:
             nonlocal size
             if size:
-                counts = np.bincount(np.concatenate(waiting), minlength=CELLS)
-                np.add(sketch, counts.astype(np.uint32), out=sketch)
+                cell, counts = np.unique(np.concatenate(waiting), return_counts=True)
+                sketch[cell] += counts.astype(np.uint32)
                 waiting.clear()
                 size = 0
 
@@ -61,57 +69,100 @@ def _features(percent: int, width: int):
                 signs.append(signature(s) if len(s) else None)
                 waiting.append((s % np.uint64(CELLS)).astype(np.int64))
                 size += len(s)
-                if size > 2 * CELLS:
+                if size > 2 * ENTRIES:
                     add()
             nothing = pa.nulls(len(ns))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(signs, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())],
-                names=["id", "n", "sig", "part", "cells"],
+                [batch.column("id"), pa.array(ns, pa.int64()), pa.array(signs, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary()), *batch.columns[2:]],
+                names=names,
             )
         add()
         step = CELLS // PARTS
         for p in range(PARTS):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([p], pa.int32()), pa.array([sketch[p * step : (p + 1) * step].tobytes()], pa.binary())],
-                names=["id", "n", "sig", "part", "cells"],
+                [
+                    *(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([p], pa.int32())),
+                    *(pa.array([zlib.compress(sketch[p * step : (p + 1) * step].tobytes(), 1)], pa.binary()), *[pa.nulls(1, pa.int64())] * extra),
+                ],
+                names=names,
             )
 
     return run
 
 
-def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells"), strict=True):
-            more = np.frombuffer(cells.as_buffer(), np.uint32).astype(np.uint64)
-            sums[part] = sums[part] + more if part in sums else more
-    for part, total in sums.items():
-        cells = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([cells], pa.binary())], names=["part", "cells"])
+def _merge(how: str):
+    """Adds up, or unites, what tasks have for each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells"), strict=True):
+                more = np.frombuffer(zlib.decompress(cells.as_buffer()), np.uint32)
+                if part not in sums:
+                    sums[part] = more
+                elif how == "sum":
+                    sums[part] = np.minimum(sums[part].astype(np.uint64) + more, 0xFFFFFFFF).astype(np.uint32)
+                else:
+                    sums[part] = sums[part] | more
+        for part, total in sums.items():
+            yield _part(part, total)
+
+    return run
+
 
+def _part(part: int, cells: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], names=["part", "cells"])
 
-def _sketch(features: DataFrame) -> np.ndarray:
-    """The counts of all tasks added up: first those of a few tasks each, then by part alone."""
-    cells = features.filter("part is not null").select("part", "cells")
+
+def _gathered(cells: DataFrame, how: str, size: int) -> np.ndarray:
+    """The cells of all tasks in one array on the driver: first those of a few tasks each, then by part alone."""
     salted = cells.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    partial = salted.repartition(PARTS, "part", "salt").select("part", "cells").mapInArrow(_add_cells, "part int, cells binary")
-    rows = partial.repartition(PARTS, "part").mapInArrow(_add_cells, "part int, cells binary").collect()
-    out = np.zeros(CELLS, np.uint32)
-    step = CELLS // PARTS
+    partial = salted.repartition(PARTS, "part", "salt").select("part", "cells").mapInArrow(_merge(how), "part int, cells binary")
+    rows = partial.repartition(PARTS, "part").mapInArrow(_merge(how), "part int, cells binary").collect()
+    out = np.zeros(size, np.uint32)
+    step = size // PARTS
     for row in rows:
-        out[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["cells"], np.uint32)
+        out[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(zlib.decompress(row["cells"]), np.uint32)
     return out
 
 
-def _runs(token: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Merge size intervals of one token whose sizes allow a link: (token, node, low, high) of runs, and edges (a, b)."""
+def _bit(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(node.view(np.uint64) + mix(doc.view(np.uint64) + np.uint64(1))) % np.uint64(BITS)).astype(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells = np.zeros(BITS // 32, np.uint32)
+    for batch in batches:
+        bit = _bit(*(batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "id")))
+        np.bitwise_or.at(cells, bit >> 5, np.uint32(1) << (bit & 31).astype(np.uint32))
+    step = len(cells) // PARTS
+    for p in range(PARTS):
+        if cells[p * step : (p + 1) * step].any():
+            yield _part(p, cells[p * step : (p + 1) * step])
+
+
+def _bound(size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The largest size of a partner, not below size, with which a set's shingle at place may be the first common one.
+
+    Then at most size - place shingles are common, and a link asks for percent * (size + partner) / (100 + percent).
+    """
+    return np.minimum((size - place) * (100 + percent) // percent - size, 100 * size // percent)
+
+
+def _runs(token: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Merge what one token connects: (token, node, low, high) of runs, and edges (a, b).
+
+    low is the least size in a run and high the largest size that one of its sets may link with. If two sets may
+    link through the token, the larger one's size is at most the smaller one's bound, so both are in one run.
+    """
     order = np.lexsort((low, token))
     token, node, low, high = token[order], node[order], low[order], high[order]
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
     lift = np.cumsum(new) * (int(high.max()) + 1)
     so_far = np.maximum.accumulate(high + lift) - lift
-    new[1:] |= 100 * so_far[:-1] < percent * low[1:]
+    new[1:] |= so_far[:-1] < low[1:]
     starts = np.flatnonzero(new)
     head = np.minimum.reduceat(node, starts)
     own = np.repeat(head, np.diff(np.append(starts, len(token))))
@@ -162,7 +213,8 @@ def _prefixes(shared, percent: int, width: int, buckets: int):
             token = np.concatenate(tokens)
             counts = [len(t) for t in tokens]
             size = np.repeat(np.array(sizes, np.int64), counts)
-            token, node, low, high, a, b = _runs(token, np.repeat(np.array(nodes, np.int64), counts), size, size, percent)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
+            token, node, low, high, a, b = _runs(token, np.repeat(np.array(nodes, np.int64), counts), size, _bound(size, place, percent))
             if len(a):
                 a, b = _forest(a, b)
                 yield _posting(int(abs(a[0]) % buckets), 1, a, b)
@@ -194,53 +246,59 @@ def _prefixes(shared, percent: int, width: int, buckets: int):
     return run
 
 
-def _match(percent: int):
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    for batch in batches:
+        for kind, n, payload in zip(*(batch.column(c) for c in ("kind", "count", "payload")), strict=True):
+            n, raw = n.as_py(), payload.as_buffer()
+            if kind.as_py():
+                columns[4].append(np.frombuffer(raw, np.int64, n))
+                columns[5].append(np.frombuffer(raw, np.int64, n, 8 * n))
+            else:
+                columns[0].append(np.frombuffer(raw, np.uint64, n))
+                columns[1].append(np.frombuffer(raw, np.int64, n, 8 * n))
+                columns[2].append(np.frombuffer(raw, np.int32, n, 16 * n).astype(np.int64))
+                columns[3].append(np.frombuffer(raw, np.int32, n, 20 * n).astype(np.int64))
+    if columns[0]:
+        *_, a, b = _runs(*(np.concatenate(c) for c in columns[:4]))
+        columns[4].append(a)
+        columns[5].append(b)
+    if columns[4]:
+        a, b = _forest(np.concatenate(columns[4]), np.concatenate(columns[5]))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _sets(shared, width: int):
+    """(id, sig, grams) of the texts that the bitmap lets through, all candidates among them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        bits = shared.value
         for batch in batches:
-            for kind, n, payload in zip(*(batch.column(c) for c in ("kind", "count", "payload")), strict=True):
-                n, raw = n.as_py(), payload.as_buffer()
-                if kind.as_py():
-                    columns[4].append(np.frombuffer(raw, np.int64, n))
-                    columns[5].append(np.frombuffer(raw, np.int64, n, 8 * n))
-                else:
-                    columns[0].append(np.frombuffer(raw, np.uint64, n))
-                    columns[1].append(np.frombuffer(raw, np.int64, n, 8 * n))
-                    columns[2].append(np.frombuffer(raw, np.int32, n, 16 * n).astype(np.int64))
-                    columns[3].append(np.frombuffer(raw, np.int32, n, 20 * n).astype(np.int64))
-        if columns[0]:
-            *_, a, b = _runs(*(np.concatenate(c) for c in columns[:4]), percent)
-            columns[4].append(a)
-            columns[5].append(b)
-        if columns[4]:
-            a, b = _forest(np.concatenate(columns[4]), np.concatenate(columns[5]))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            ids = batch.column("id").cast(pa.int64()).to_pylist()
+            keep: list[tuple] = []
+            size = 0
+            for doc, s in zip(ids, shingle_sets(batch.column("text"), width), strict=True):
+                if not len(s):
+                    continue
+                sig = signature(s)
+                bit = int(_bit(np.array([_node(sig)]), np.array([doc or 0]))[0])
+                if bits[bit >> 5] >> np.uint32(bit & 31) & np.uint32(1):
+                    keep.append((doc, sig, s.tobytes()))
+                    size += len(s)
+                    if size > ENTRIES:
+                        yield _gram_rows(keep)
+                        keep, size = [], 0
+            if keep:
+                yield _gram_rows(keep)
 
     return run
 
 
-def _sets(width: int):
-    """The set of each candidate text, for each unit that it belongs to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units, sides, many, signs, sets = [], [], [], [], []
-            wanted = batch.column("sig").to_pylist()
-            for s, sig, own in zip(shingle_sets(batch.column("text"), width), wanted, batch.column("units").to_pylist(), strict=True):
-                if len(s) and signature(s) == sig:
-                    for u in own:
-                        units.append(u["unit"])
-                        sides.append(u["side"])
-                        many.append(u["many"])
-                        signs.append(sig)
-                        sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(units, pa.string()), pa.array(sides, pa.int32()), pa.array(many, pa.bool_()), pa.array(signs, pa.binary()), pa.array(sets, pa.binary())],
-                names=["unit", "side", "many", "sig", "grams"],
-            )
-
-    return run
+def _gram_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.binary(), pa.binary())
+    arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "sig", "grams"])
 
 
 def _join_units(percent: int):
@@ -308,8 +366,10 @@ def _units(candidates: DataFrame, percent: int) -> DataFrame:
     return dealt.select("sig", "id", F.when(F.col("total") <= BLOCK_WEIGHT, single).otherwise(pairs).alias("units"))
 
 
-def shingle_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
+def shingle_components(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, width: int = SHINGLE, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs, and the columns named in extra (longs).
 
     Two documents link if ``100 * shared >= percent * united`` over their sets of distinct width-word
     shingles; a text of fewer words has its whole sequence as its one shingle. component_id is the smallest
@@ -319,23 +379,27 @@ def shingle_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     other columns of docs are passed over.
     """
     spark = docs.sparkSession
+    more = [F.col(c).cast("long").alias(f"x{i}") for i, c in enumerate(extra)]
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    features = cut(texts.mapInArrow(_features(percent, width), "id long, n long, sig binary, part int, cells binary"))
-    rows = features.filter("part is null").select("id", "n", "sig")
+    schema = "id long, n long, sig binary, part int, cells binary" + "".join(f", x{i} long" for i in range(len(extra)))
+    features = cut(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *more).mapInArrow(_features(width, len(extra)), schema))
+    rows = features.filter("part is null").drop("part", "cells")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = spark.sparkContext.broadcast(_sketch(features))
+    shared = spark.sparkContext.broadcast(_gathered(features.filter("part is not null").select("part", "cells"), "sum", CELLS))
     buckets = max(shuffle_width(spark), total // (4 * ENTRIES) + 1)
 
     postings = texts.mapInArrow(_prefixes(shared, percent, width, buckets), _POSTING).repartition(buckets, "bucket")
-    edges = postings.mapInArrow(_match(percent), "a long, b long")
+    edges = postings.mapInArrow(_match, "a long, b long")
     near = connected_components(edges).withColumnRenamed("component", "comp")
 
     to_node = "cast(conv(concat(" + ",".join(f"substring(hex(sig), {2 * i + 1}, 2)" for i in reversed(range(8))) + "), 16, -10) as bigint)"
     sets = cut(rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    candidates = cut(sets.withColumn("node", F.expr(to_node)).join(near, "node").select("sig", "id", "n", "comp"))
+    candidates = cut(sets.withColumn("node", F.expr(to_node)).join(near, "node").select("sig", "id", "n", "comp", "node"))
+    bitmap = spark.sparkContext.broadcast(_gathered(candidates.select("node", "id").mapInArrow(_mark, "part int, cells binary"), "or", BITS // 32))
     units = _units(candidates, percent)
-    wanted = texts.withColumnRenamed("id", "__id").join(units, F.col("__id").eqNullSafe(F.col("id"))).select("text", "sig", "units")
-    grams = wanted.mapInArrow(_sets(width), "unit string, side int, many boolean, sig binary, grams binary")
+    sets_again = texts.mapInArrow(_sets(bitmap, width), "id long, sig binary, grams binary").withColumnRenamed("id", "__id")
+    wanted = sets_again.join(units, "sig").filter(F.col("__id").eqNullSafe(F.col("id")))
+    grams = wanted.select(F.explode("units").alias("u"), "sig", "grams").select("u.unit", "u.side", "u.many", "sig", "grams")
     links = cut(
         grams.repartition(buckets, "unit")
         .sortWithinPartitions("unit")
@@ -350,7 +414,10 @@ def shingle_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     least = own.groupBy("head").agg(F.min("id").alias("component_id"))
     classes = own.join(least, "head").select("sig", "component_id")
     return rows.join(classes, "sig", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        *[F.col(f"x{i}").alias(c) for i, c in enumerate(extra)],
     )
 
 
