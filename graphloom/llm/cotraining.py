@@ -249,15 +249,21 @@ def fit(table: DataFrame, rounds: int = ROUNDS) -> CoTrained:
 
 
 def classify_quality(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    text: str = "text",
+    doc_id: str = "doc_id",
+    rounds: int = ROUNDS,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, text_score, meta_score, quality_score, kept) for each row of docs.
+    """(doc_id, extra columns of docs, text_score, meta_score, quality_score, kept) for each row of docs.
 
     docs may have ``source``, ``lang`` and ``n_chars``; a missing or null one counts as none. labels has
     (doc_id, label), 1 for good and 0 for bad; labels of one doc_id are averaged, null ones passed over. A
     null or empty text has no words and is scored as such. Equal rows get equal scores. Without labels all
     scores are one half and every row is kept. An empty table gives an empty result.
     """
-    table = features(docs, labels.select("doc_id", label), label, text, doc_id, [doc_id])
+    table = features(docs, labels.select("doc_id", label), label, text, doc_id, [doc_id, *extra])
     scored = fit(table, rounds).score(table)
     return scored.withColumnRenamed(doc_id, "doc_id").withColumn("kept", F.col("quality_score") >= KEEP_FROM)
