@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the formats: WAVE format tags, index moves of IMA ADPCM.
 FORMAT_PCM, FORMAT_ALAW, FORMAT_MULAW, FORMAT_IMA = 0x0001, 0x0006, 0x0007, 0x0011
@@ -156,7 +157,7 @@ def decode_media(df: DataFrame, media: str = "media", to: int = 16000) -> DataFr
     replaced; an empty table gives an empty result.
     """
     own = df.drop("pcm", "feature", "error")
-    schema = own.schema.add("pcm", "binary").add("feature", "string").add("error", "string")
+    schema = T.StructType([*own.schema.fields, *(T.StructField(n, t()) for n, t in (("pcm", T.BinaryType), ("feature", T.StringType), ("error", T.StringType)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
