@@ -207,6 +207,7 @@ def go(source: str) -> Iterator[Row]:
             yield _function_row(source, m[2], METHOD if m[1] else FUNCTION, n, m[3], m[2][:1].isupper())
             for p in re.findall(r"(\w+)\s+[\w.*\[\]]+", (m[1] or "") + "," + m[3]):
                 yield {"row": "local", "name": p, "line": n, "col": 1}
+            yield from _calls(n, line, _KEYWORDS)
         elif m := re.match(r"type\s+(\w+)\s+(interface)?", line):
             yield _definition(m[1], INTERFACE if m[2] else TYPE, n, exported=m[1][:1].isupper())
         elif m := re.match(r"(?:var|const)\s+(\w+)", line):
@@ -255,6 +256,7 @@ def java(source: str) -> Iterator[Row]:
             yield _definition(m[2], kind, n, exported=visibility == "public", visibility=visibility, type_hint=m[1])
         elif m := re.match(r"\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*\(([^)]*)\)", line):
             yield _function_row(source, m[1], METHOD, n, m[2], visibility == "public", visibility=visibility)
+            yield from _calls(n, line[line.find("{") :] if "{" in line else "", _KEYWORDS)
         else:
             yield from _calls(n, line, _KEYWORDS)
 
@@ -271,6 +273,7 @@ def rust(source: str) -> Iterator[Row]:
                     yield _import(target.strip(), n, alias=alias.strip(), relative=target.startswith(("self", "super", "crate")))
         elif m := re.match(r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)\s*(?:<[^>]*>)?\(([^)]*)", line):
             yield _function_row(source, m[1], METHOD if "self" in m[2] else FUNCTION, n, m[2], public, visibility="public" if public else "private")
+            yield from _calls(n, line, _KEYWORDS)
         elif m := re.match(r"\s*(?:pub(?:\([^)]*\))?\s+)?(struct|enum|trait|type|const|static)\s+(\w+)", line):
             kind = {"trait": INTERFACE, "const": CONSTANT, "static": VARIABLE}.get(m[1], TYPE)
             yield _definition(m[2], kind, n, exported=public, visibility="public" if public else "private", type_hint=m[1])
