@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import diagrams, graph, history, metrics, model, query, resolve, rules, secrets, symbols
 from graphloom.schemas import DEFINITIONS, FILES, IMPORTS, REFERENCES, SNAPSHOTS
+from graphloom.session import cut
 from graphloom.sinks import diagrams as draw
 from graphloom.sinks import reports
 from graphloom.sources import config as settings
@@ -51,8 +52,9 @@ class Project:
         sources = scan.source_files(raw, languages, config.exclude_dirs, config.exclude_files).cache()
         gomods = raw.filter(F.substring_index("path", "/", -1) == "go.mod").select("path", F.decode("content", "UTF-8").alias("content"))
         named = naming.with_modules(sources.select("path", "language"), gomods, roots[0].rstrip("/") if len(roots) == 1 else "")
-        rows = extract.extract(sources).cache()
-        return cls(spark, extract.tables(rows, named) | {"sources": sources}, config)
+        rows = cut(extract.extract(sources))
+        # Results join these tables many times over, so their plans end here.
+        return cls(spark, {k: cut(v) for k, v in extract.tables(rows, cut(named)).items()} | {"sources": sources}, config)
 
     def _table(self, name: str, schema: str) -> DataFrame:
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], schema)

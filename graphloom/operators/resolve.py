@@ -20,6 +20,7 @@ from graphloom.functions.names import (
 from graphloom.operators.stdlib import builtins, stdlib
 from graphloom.operators.symbols import lookup_keys
 from graphloom.schemas import FFI, PROCESS, SERVICE
+from graphloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -208,7 +209,7 @@ def probabilistic_matches(found: DataFrame) -> DataFrame:
 def assess(references: DataFrame, files: DataFrame, imports: DataFrame, definitions: DataFrame, symbols: DataFrame, options: Options = Options()) -> DataFrame:
     """references with ``status`` (resolved, probable, unresolved), ``score``, ``confidence``, ``reasons`` and ``likely`` (worth a report)."""
     spark = references.sparkSession
-    rows = with_context(references, files, imports)
+    rows = cut(with_context(references, files, imports))  # the searches below join it ten times
     lib = F.broadcast(stdlib(spark))
     name, head = F.col("name"), prefix(F.col("name"))
     asked = rows.select("rid", "language", "name", F.substring_index("name", ".", 1).alias("first"), head.alias("head"))
