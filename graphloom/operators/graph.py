@@ -10,16 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import graphloom
 from graphloom.session import cut
 
-# Python workers get these functions with their code, so the package needs no installation on executors.
-cloudpickle.register_pickle_by_value(graphloom)
-
 #: Edges up to which one task holds the whole graph: about 200 MB.
 LOCAL_EDGES = 1_000_000
 

@@ -560,3 +560,30 @@ def component_edges(d: Derived) -> DataFrame:
 def call_sequence(d: Derived) -> DataFrame:
     entry = d.files.agg(F.min("module")).first()[0]
     return diagrams.call_sequence(d.references, d.definitions, entry)
+
+
+# Sources.
+
+
+@_register(
+    """SELECT page_id, name, count(*) AS uses FROM (SELECT page_id, unnest(string_split(c, ' ')) AS name FROM (SELECT page_id, unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) AS c FROM pages))
+    WHERE name <> '' GROUP BY page_id, name"""
+)
+def html_refs(d: Derived) -> DataFrame:
+    classes = d.read("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('class="([^"]*)"'), F.lit(1))).alias("c"))
+    tokens = classes.select("page_id", F.explode(F.split("c", " ")).alias("name")).filter("name <> ''")
+    return tokens.groupBy("page_id", "name").agg(F.count("*").alias("uses"))
+
+
+@_register(
+    oracle(
+        """SELECT path, CASE WHEN ends_with(path, '.go') THEN 'go' WHEN ends_with(path, '.py') THEN 'python' ELSE '' END AS detected,
+        lower(regexp_replace(split_part(path, '/', -1), '\\.(js|ts)$', '')) AS leaf FROM files""",
+        "files",
+    )
+)
+def languages_of_files(d: Derived) -> DataFrame:
+    from graphloom.sources import languages, naming
+
+    path = F.col("path")
+    return d.files.select("path", languages.language_of(path, languages.registry()).alias("detected"), F.lower(naming.script_module(path)).alias("leaf"))
