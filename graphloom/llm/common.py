@@ -36,3 +36,15 @@ def words(text: Column | str) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(df: DataFrame, order: str, limit: int) -> list:
+    """About ``limit`` rows of df at most, on the driver; all rows where there are no more.
+
+    ``order`` is a column of random 64-bit hashes. Of more rows, those below the quantile of the hash that
+    leaves limit are taken, so no task sends more than its share.
+    """
+    many = df.count()
+    if many > limit:
+        df = df.filter(F.col(order) < -(1 << 63) + (limit << 64) // many)
+    return df.collect()

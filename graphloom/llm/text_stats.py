@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import bounded_sample, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Words of a window, for repeats inside a text.
@@ -74,10 +74,10 @@ RATIOS = {
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, columns: list[str], limit: int, key: str = "doc_id") -> list[tuple]:
-    """(hash, label, columns...) of labelled rows; over limit of them, those with the least hash of key.
+    """(hash, label, columns...) of labelled rows; over limit of them, about limit with the least hash of key.
 
     Labels of one key are averaged and rounded; null labels and keys are passed over.
     """
     clean = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.round(F.avg(label)).cast("int").alias("__label"))
     joined = stats.join(clean, F.col(key) == F.col("__key")).select(F.xxhash64(key).alias("__hash"), "__label", *columns)
-    return [tuple(r) for r in joined.orderBy("__hash", *columns).limit(limit).collect()]
+    return sorted(tuple(r) for r in bounded_sample(joined, "__hash", limit))

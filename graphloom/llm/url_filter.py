@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 #: At most this many labelled URLs are learned from, those with the least hash.
 MAX_LABELLED = 20_000
 TREES, DEPTH, RATE, RIDGE, MIN_LEAF, BINS = 24, 3, 0.3, 1.0, 10, 32
@@ -187,16 +189,15 @@ MAX_SUFFIXES = 64
 def train(parsed: DataFrame, label: str, url: str = "url", max_labelled: int = MAX_LABELLED) -> UrlModel:
     """A model from the rows whose ``label`` is 1 (bad) or 0; null labels are passed over.
 
-    Over max_labelled such rows, those whose URL has the least hash are taken.
+    Over max_labelled such rows, about as many whose URLs have the least hashes are taken.
     """
     names = [f"f_{k}" for k, v in FEATURES.items() if v is not None]
     rows = (
         lexical(parsed.filter(F.col(label).isNotNull()), url, F.lit(0))
         .select(F.xxhash64(url).alias("h"), F.col(label).cast("int").alias("y"), suffix(F.col("host")).alias("s"), *names)
-        .orderBy("h", "y", *names)
-        .limit(max_labelled)
-        .collect()
+        .dropDuplicates(["h"])
     )
+    rows = sorted(bounded_sample(rows, "h", max_labelled))
     y = np.array([r["y"] for r in rows], np.float64)
     average = float(y.mean()) if len(y) else 0.0
     seen: dict[str, list[float]] = {}
