@@ -50,8 +50,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines; one that has no line left goes."""
-    cleaned = dedup_lines(docs.select(*COLUMNS))
+    """Documents without later repeated runs of lines, to each run's last line; one that has no line left goes."""
+    cleaned = dedup_lines(docs.select(*COLUMNS), whole_runs=True)
     return _recounted(cleaned.filter("n_deleted = 0 or n_deleted < n_lines"))
 
 

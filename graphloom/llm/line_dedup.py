@@ -2,12 +2,17 @@ r"""Line dedup by winnowing over line hashes.
 
 A line is a piece of a text between line feeds; its white space is normalised and blank lines are passed
 over. A *window* starts at each line and takes lines until it has ``min_words`` words or ``max_lines``
-lines; a text's last lines that reach neither form no window. Of each window the line with the least hash
+lines; a text's last lines that reach neither start no window. Of each window the line with the least hash
 is its fingerprint, so every repeated run that is as long as a window is guaranteed to share a fingerprint
 with its earlier occurrence. Fingerprints that occur at one place only are dropped. Around the others the
 match is extended both ways: each window that contains the fingerprint is compared, as a whole, with its
-earliest occurrence in the order (doc_id, line). The lines of every later window go, so what goes is the
-union of the matching windows, which is the whole repeated run.
+earliest occurrence in the order (doc_id, line). The lines of every later window go.
+
+Windows from each start leave the end of a run where the last one that fits stops before it. With
+``whole_runs`` there is also a window that ends at each line and takes lines backwards. A run that is as long
+as a window holds the one that starts at its first line; each line beyond that one ends a window within the
+run. So what goes then is exactly the union of all runs that reach ``min_words`` words or ``max_lines`` lines
+and occur earlier. Without it the result is that of line_dedup_sql().
 
 Positions are joined by the content of windows and never in pairs: a line that a third of all documents
 have costs as many rows as it has occurrences. Only hashes, counts and line numbers are shuffled; texts
@@ -31,12 +36,24 @@ _LINES = r"""filter(
   x -> x.t <> '')"""
 _HASHED = """transform(__lines, x -> named_struct(
   'no', x.no, 'h', xxhash64(x.t), 'g', xxhash64('second', x.t), 'w', length(x.t) - length(replace(x.t, ' ', '')) + 1))"""
-_LENGTH = """aggregate(slice(__h, i + 1, {max_lines}), named_struct('n', 0, 'w', 0),
+_AHEAD = "slice(__h, i + 1, {max_lines})"
+_BACK = "reverse(slice(__h, greatest(i + 2 - {max_lines}, 1), least(i + 1, {max_lines})))"
+_LENGTH = """aggregate({lines}, named_struct('n', 0, 'w', 0),
   (a, x) -> if(a.w >= {min_words}, a, named_struct('n', a.n + 1, 'w', a.w + x.w)))"""
 
 
-def windows(docs: DataFrame, text: str, doc_id: str, min_words: int, max_lines: int) -> DataFrame:
+def windows(docs: DataFrame, text: str, doc_id: str, min_words: int, max_lines: int, whole_runs: bool = False) -> DataFrame:
     """A row for each window: document, first and last line, fingerprint with its line, two content hashes."""
+
+    def lengths(lines: str) -> str:
+        size = _LENGTH.format(lines=lines.format(max_lines=max_lines), min_words=min_words)
+        return f"transform(__h, (x, i) -> {size})"
+
+    long_enough = f"y -> y.w >= {min_words} or y.n >= {max_lines}"
+    places = f"filter(transform(__n, (s, i) -> named_struct('at', i + 1, 'n', s.n, 'w', s.w)), {long_enough})"
+    if whole_runs:
+        backward = f"filter(transform(__b, (s, i) -> named_struct('at', i + 2 - s.n, 'n', s.n, 'w', s.w)), {long_enough})"
+        places = f"concat({places}, filter({backward}, y -> __n[y.at - 1].n <> y.n))"
     keyed = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(text), F.lit("")).alias("__text"),
@@ -45,21 +62,15 @@ def windows(docs: DataFrame, text: str, doc_id: str, min_words: int, max_lines:
         keyed.withColumn("key", F.xxhash64("__text"))
         .withColumn("__lines", F.expr(_LINES))
         .withColumn("__h", F.expr(_HASHED))
-        .select(
-            "id",
-            "key",
-            "__h",
-            F.expr(f"transform(__h, (x, i) -> {_LENGTH.format(min_words=min_words, max_lines=max_lines)})").alias("__n"),
-        )
+        .select("id", "key", "__h", F.expr(lengths(_AHEAD)).alias("__n"), *([F.expr(lengths(_BACK)).alias("__b")] if whole_runs else []))
         .select(
             "id",
             "key",
             F.expr(
                 f"""inline(transform(
-                  filter(transform(__n, (s, i) -> named_struct('s', s, 'win', slice(__h, i + 1, s.n))),
-                         y -> y.s.w >= {min_words} or y.s.n >= {max_lines}),
-                  y -> named_struct(
-                    'win', y.win, 'least', array_min(transform(y.win, x -> named_struct('h', x.h, 'no', x.no))))))"""
+                  transform({places}, y -> slice(__h, y.at, y.n)),
+                  win -> named_struct(
+                    'win', win, 'least', array_min(transform(win, x -> named_struct('h', x.h, 'no', x.no))))))"""
             ),
         )
     )
@@ -76,10 +87,15 @@ def windows(docs: DataFrame, text: str, doc_id: str, min_words: int, max_lines:
 
 
 def repeated_lines(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, max_lines: int = MAX_LINES
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    min_words: int = MIN_WORDS,
+    max_lines: int = MAX_LINES,
+    whole_runs: bool = False,
 ) -> DataFrame:
     """Documents that have later repeated runs: id, key (hash of the text) and the numbers of their lines."""
-    spans = cut(windows(docs, text, doc_id, min_words, max_lines))
+    spans = cut(windows(docs, text, doc_id, min_words, max_lines, whole_runs))
     place = F.struct("id", "key", "print_no")
     recurring = (
         spans.groupBy("print")
@@ -101,16 +117,22 @@ def repeated_lines(
 
 
 def dedup_lines(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, max_lines: int = MAX_LINES
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    min_words: int = MIN_WORDS,
+    max_lines: int = MAX_LINES,
+    whole_runs: bool = False,
 ) -> DataFrame:
     """docs with later repeated runs of lines taken out of ``text``, and the columns ``n_lines`` and ``n_deleted`` (long).
 
-    Both count lines that aren't blank; blank lines inside a deleted run go with it. A null text stays null
+    With whole_runs repeated runs go to their last line, else up to the last window that starts in them and fits.
+    Both count lines that aren't blank; blank lines inside a window that goes go with it. A null text stays null
     and has no lines. Rows that repeat a doc_id and a text are one document: they are treated alike. A null
     doc_id sorts last. An empty table gives an empty result. Other columns are kept; columns of docs that
     are named n_lines or n_deleted are replaced.
     """
-    gone = repeated_lines(docs, text, doc_id, min_words, max_lines).select(
+    gone = repeated_lines(docs, text, doc_id, min_words, max_lines, whole_runs).select(
         F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("nos").alias("__nos")
     )
     own = docs.drop("n_lines", "n_deleted")

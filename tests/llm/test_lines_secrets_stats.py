@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 from graphloom.llm import decision_list, line_dedup, secret_scan, text_stats
 
 GAP = re.compile(r"[ \t-\r]+")
@@ -49,6 +50,55 @@ def test_passage_of_fifty_words_goes_from_later_documents(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "other text\nlast", 3: rows[2][1]}
 
 
+def whole_runs(rows, min_words=line_dedup.MIN_WORDS, max_lines=line_dedup.MAX_LINES):
+    """By pairs of places: what is left, but for blank lines, without the maximal runs that are equal to earlier ones and long enough."""
+    places, gone = [], set()
+    for d, text in sorted(rows):
+        lines = [(no, GAP.sub(" ", x).strip(" ")) for no, x in enumerate((text or "").split("\n"))]
+        places.append([(d, no, x) for no, x in lines if x])
+    for b, later in enumerate(places):
+        for a, early in enumerate(places[: b + 1]):
+            for shift in range(1 - len(early), len(later)):
+                if a == b and shift <= 0:
+                    continue
+                run = []
+                for i in range(max(0, shift), len(later) + 1):
+                    if i < len(later) and i - shift < len(early) and later[i][2] == early[i - shift][2]:
+                        run.append(later[i])
+                        continue
+                    if len(run) >= max_lines or sum(len(x.split(" ")) for *_, x in run) >= min_words:
+                        gone |= {(d, no) for d, no, _ in run}
+                    run = []
+    left = {d: [] for d, _ in rows}
+    for lines in places:
+        for d, no, x in lines:
+            left[d] += [x] if (d, no) not in gone else []
+    return left
+
+
+def test_whole_repeated_runs_go(spark):
+    rng = random.Random(12)
+    lines = [" ".join(rng.choices(["a", "b", "cc", "é"], k=rng.choice((1, 2, 9, 20, 35)))) for _ in range(9)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 12)))) for i in range(50)] + [(90, None), (91, ""), (92, "x y\n" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    full = lambda t: [x for x in (GAP.sub(" ", x).strip(" ") for x in (t or "").split("\n")) if x]
+    want = whole_runs(rows)
+    assert {r["doc_id"]: full(r["text"]) for r in line_dedup.dedup_lines(docs, whole_runs=True).collect()} == want
+    assert want != {d: full(t) for d, t in dedup(rows).items()}
+
+
+def test_pipeline_drops_the_end_of_a_repeated_run_and_exact_copies(spark):
+    def line(k, n):
+        return " ".join(f"{k}{i}" for i in range(n))
+
+    passage = line("p", 40) + "\n" + line("q", 20)
+    rows = [(0, line("p", 40) + "\nother end"), (1, f"first\n{passage}\nend"), (2, f"own line\n{passage}\nlast"), (3, passage), (4, "clean words")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    want = {0: rows[0][1], 1: f"first\n{line('q', 20)}\nend", 2: "own line\nlast", 4: "clean words"}
+    assert left == {d: (t, len(t)) for d, t in want.items()}
+
+
 def spans(text):
     text, out = text or "", []
     for kind, pattern in enumerate((secret_scan.ASSIGN, r"AKIA[A-Z0-9]+", r"[0-9a-f]+", secret_scan.CANDIDATE)):
