@@ -180,8 +180,13 @@ def depths(next_of: dict[str, list[str]], component: dict[str, int]) -> dict[str
 
 def back_edge_cycles(next_of: dict[str, list[str]]) -> list[list[str]]:
     """A cycle for each back edge of a depth-first search over sorted roots and neighbours."""
+    return [cycle for _, cycle in rooted_cycles(next_of)]
+
+
+def rooted_cycles(next_of: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
+    """The same, each with the root from which the search found it."""
     state: dict[str, int] = {}
-    cycles: list[list[str]] = []
+    cycles: list[tuple[str, list[str]]] = []
     for root in sorted(next_of):
         if root in state:
             continue
@@ -201,7 +206,7 @@ def back_edge_cycles(next_of: dict[str, list[str]]) -> list[list[str]]:
                 path.append(step)
                 work.append(iter(next_of[step]))
             elif state[step] == 1:
-                cycles.append(path[place[step] :])
+                cycles.append((root, path[place[step] :]))
     return cycles
 
 
@@ -303,11 +308,13 @@ def detect_cycles(edges: DataFrame) -> DataFrame:
     part = weak_components(pairs)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = back_edge_cycles(_adjacency(list(zip(group["src"], group["dst"], strict=True))))
-        return pd.DataFrame({"part": [group["part"].iloc[0]] * len(found), "n": range(len(found)), "cycle": found})
+        found = rooted_cycles(_adjacency(list(zip(group["src"], group["dst"], strict=True))))
+        return pd.DataFrame([(r, n, c) for n, (r, c) in enumerate(found)], columns=["root", "n", "cycle"], dtype=object)
 
-    cycles = pairs.join(part.toDF("src", "part"), "src").groupBy("part").applyInPandas(run, "part string, n long, cycle array<string>")
-    return cycles.select(F.monotonically_increasing_id().alias("cycle_id"), "cycle")
+    cycles = cut(pairs.join(part.toDF("src", "part"), "src").groupBy("part").applyInPandas(run, "root string, n long, cycle array<string>"))
+    # One search over all parts takes the roots in order, and enters a part anew at each of its roots.
+    numbered = cycles.orderBy("root", "n").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["cycle"]))
+    return edges.sparkSession.createDataFrame(numbered, "cycle_id long, cycle array<string>")
 
 
 def weak_components(edges: DataFrame) -> DataFrame:

@@ -98,3 +98,13 @@ def test_components_in_rounds_match_a_model(spark):
 def test_weak_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y")], "src string, dst string")
     assert {tuple(r) for r in graph.weak_components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+
+
+def test_cycles_of_a_large_graph_are_numbered_as_those_of_a_small_one(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(f"{p}{rng.randint(0, 5)}", f"{p}{rng.randint(0, 5)}") for p in "abcdef" for _ in range(9)]
+    pairs += [("k1", "k0"), ("k5", "k1"), ("k5", "k6"), ("k6", "k5"), ("k1", "k1"), ("k3", "l4"), ("l4", "k3")]
+    edges = spark.createDataFrame(pairs, "src string, dst string").repartition(4)
+    small = sorted(map(tuple, graph.detect_cycles(edges).collect()))
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 3)
+    assert sorted(map(tuple, graph.detect_cycles(edges).collect())) == small and len(small) > 6
