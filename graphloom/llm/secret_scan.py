@@ -36,12 +36,14 @@ CLASSES = (
     ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8),
 )
 #: Candidates that aren't secrets: no digit or no letter, UUIDs, dates and other digit groups, placeholders, lower-case slugs.
+#: The slug's repeats are possessive, so the JVM loops over them: a plain repeated group recurses once for each of a slug's
+#: words, and a long slug overflows the stack. As words and separators share no character, both match the same strings.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"(?i:example|sample|dummy|placeholder|changeme|notasecret)",
-    r"^[a-z]+([_/-][a-z]+)*[_/-]?[0-9]{1,4}$",
+    r"^[a-z]++(?:[_/-][a-z]++)*+[_/-]?[0-9]{1,4}$",
 )
 MILLION = 1_000_000
 
@@ -82,21 +84,20 @@ def _terms() -> str:
 
 
 def _best_window(candidate: str) -> str:
-    """The least sum of terms of a window of the candidate, by sliding counts."""
+    """The least sum of terms of a window of the candidate, by sliding counts.
+
+    The codes stay outside the fold's state, which has a fixed size, so the work grows with the length alone.
+    """
+    last = f"t >= {WINDOW}"
     codes = f"transform(split({candidate}, ''), c -> instr({_sql(ALPHABET)}, c))"
     step = f"""(a, t) -> named_struct(
-        'codes', a.codes,
-        'counts', transform(a.counts, (n, k) -> n + if(k + 1 = a.codes[t], 1, 0) - if(t >= {WINDOW} and k + 1 = a.codes[t - {WINDOW}], 1, 0)),
-        'total', a.total + if(t >= {WINDOW} and a.codes[t] = a.codes[t - {WINDOW}], 0,
-            terms[a.counts[a.codes[t] - 1] + 1] - terms[a.counts[a.codes[t] - 1]]
-            + if(t >= {WINDOW}, terms[a.counts[a.codes[t - {WINDOW}] - 1] - 1] - terms[a.counts[a.codes[t - {WINDOW}] - 1]], 0)),
-        'best', a.best)"""
-    settle = f"if(t >= {WINDOW - 1}, least(b.best, b.total), b.best)"
-    return f"""aggregate(sequence(0, length({candidate}) - 1),
-      named_struct('codes', {codes}, 'counts', array_repeat(0, {len(ALPHABET)}), 'total', 0, 'best', 2147483647),
-      (a0, t) -> transform(array({step.split("-> ", 1)[1].replace("a.", "a0.").replace("terms", "__terms")}),
-        b -> named_struct('codes', b.codes, 'counts', b.counts, 'total', b.total, 'best', {settle}))[0],
-      z -> z.best)"""
+        'counts', transform(a.counts, (n, k) -> n + if(k + 1 = cs[t], 1, 0) - if({last} and k + 1 = cs[t - {WINDOW}], 1, 0)),
+        'total', a.total + if({last} and cs[t] = cs[t - {WINDOW}], 0,
+            __terms[a.counts[cs[t] - 1] + 1] - __terms[a.counts[cs[t] - 1]]
+            + if({last}, __terms[a.counts[cs[t - {WINDOW}] - 1] - 1] - __terms[a.counts[cs[t - {WINDOW}] - 1]], 0)),
+        'best', if({last}, least(a.best, a.total), a.best))"""
+    start = f"named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'total', 0, 'best', 2147483647)"
+    return f"transform(array({codes}), cs -> aggregate(sequence(0, size(cs) - 1), {start}, {step}, z -> least(z.best, z.total)))[0]"
 
 
 def _entropy_test() -> str:
@@ -111,6 +112,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Positions count code points, end exclusive. A null or empty text has none; an empty table gives an
     empty result; repeated rows get equal arrays; a column of docs that is named secrets is replaced.
+    Candidates may have any length: no pattern here recurses.
     """
     value = f"length(regexp_extract(m., {_sql(ASSIGN)}, 2)) >= {MIN_VALUE}"
     own = docs.drop("secrets")
@@ -135,7 +137,11 @@ def span_text(spans: Column) -> Column:
 
 
 def scan_digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Counts and digests of the spans that find_secrets() found."""
+    """Counts and digests of the spans that find_secrets() found, a row for each row.
+
+    A null id stays null, a row without secrets has zeros and the digest of an empty string, repeated rows stay
+    repeated, and an empty table gives an empty result. Other columns are passed over.
+    """
 
     def count(kind: int) -> Column:
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
@@ -151,7 +157,11 @@ def scan_digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def redact(found: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """found with each span of ``secrets`` in its text replaced by mark; overlapping spans are replaced as one."""
+    """found with each span of ``secrets`` in its text replaced by mark; overlapping spans are replaced as one.
+
+    A null text stays null, a text without spans stays as it is; repeated rows are treated alike, an empty table
+    stays empty, and all other columns are kept.
+    """
     merged = """aggregate(secrets, cast(array() as array<struct<start:int,end:int>>),
       (a, s) -> if(size(a) > 0 and s.start <= element_at(a, -1).end,
         concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))),
@@ -198,7 +208,8 @@ FROM base LEFT JOIN found USING (row_no) GROUP BY base.id, row_no"""
 
 def _entropy_sql(q) -> str:
     terms = "[" + ",".join(str(term(c)) for c in range(WINDOW + 1)) + "]"
-    allowed = " OR ".join(f"regexp_matches(m, {q(p)})" for p in ALLOWED)
+    # The patterns as they are, but for possessive repeats, which DuckDB's automaton neither knows nor needs.
+    allowed = " OR ".join(f"regexp_matches(m, {q(p.replace('++', '+').replace('*+', '*'))})" for p in ALLOWED)
     limit = "CASE " + " ".join(f"WHEN regexp_matches(m, {q(p)}) THEN {ceiling(b)}" for _, p, b in CLASSES) + " END"
     window = f"string_split(substr(m, j, {WINDOW}), '')"
     total = f"list_sum(list_transform(list_distinct({window}), lambda c: {terms}[1 + len(list_filter({window}, lambda d: d = c))]))"
