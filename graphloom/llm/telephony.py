@@ -1,8 +1,8 @@
 r"""Telephony audio in media columns: G.711 mu-law and A-law, IMA ADPCM, in WAVE containers.
 
 Companded samples are expanded by tables of 256 entries; ADPCM is decoded sample by sample in numpy, all
-blocks of a batch at once; PCM is resampled by linear interpolation. Media stay binary columns, each row is
-worked on by itself, and nothing is shuffled.
+blocks of a group of files at once; PCM is resampled by linear interpolation. Media stay binary columns, and
+nothing is shuffled. Files are worked on in groups of bounded bytes.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ RATE = 8000
 PAYLOAD_UNIT = 64
 #: Bytes of an ADPCM block: a header of 4 and two samples in each other byte.
 IMA_BLOCK = 256
+#: Files are decoded together until they have so many bytes.
+GROUP_BYTES = 1 << 22
 
 
 def mulaw_table() -> np.ndarray:
@@ -92,14 +94,16 @@ def pack(payload: bytes, codec: str = "mulaw", rate: int = RATE, block: int = IM
 
 
 def unpack(media: bytes) -> tuple[int, int, int, bytes]:
-    """(format tag, rate, block size, data) of a WAVE file; ValueError if it is none or lacks a part."""
+    """(format tag, rate, block size, data) of a WAVE file; ValueError if it is none, lacks a part or has one cut short."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("no WAVE file")
     at, shape, data = 12, None, None
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
         chunk = media[at + 8 : at + 8 + size]
-        if name == b"fmt " and size >= 16:
+        if name == b"fmt ":
+            if len(chunk) < max(size, 16):
+                raise ValueError("the format is cut short")
             shape = chunk
         elif name == b"data":
             if len(chunk) < size:
@@ -111,23 +115,62 @@ def unpack(media: bytes) -> tuple[int, int, int, bytes]:
     tag, channels, rate, _, block = struct.unpack_from("<HHIIH", shape)
     if channels != 1:
         raise ValueError("one channel is supported")
+    if not rate:
+        raise ValueError("the rate is zero")
     return tag, rate, block, data
 
 
-def expand(tag: int, block: int, data: bytes) -> np.ndarray:
-    """PCM samples (int16) of coded data; bytes after the last whole sample or block are passed over."""
+def ima_parts(block: int, data: bytes) -> list[np.ndarray]:
+    """The blocks of ADPCM data (blocks x bytes): the whole ones and, if there is one, a last short one."""
     raw = np.frombuffer(data, np.uint8)
+    whole = len(raw) // block * block
+    parts = [raw[:whole].reshape(-1, block)] if whole else []
+    return parts + ([raw[whole:].reshape(1, -1)] if whole < len(raw) else [])
+
+
+def expand(tag: int, block: int, data: bytes) -> np.ndarray:
+    """PCM samples (int16) of coded data.
+
+    A last ADPCM block that is short is decoded as far as it goes; of one without a whole header, and of a last
+    PCM sample's first half, nothing can be told, and they raise ValueError.
+    """
     if tag == FORMAT_MULAW:
-        return MULAW[raw]
+        return MULAW[np.frombuffer(data, np.uint8)]
     if tag == FORMAT_ALAW:
-        return ALAW[raw]
+        return ALAW[np.frombuffer(data, np.uint8)]
     if tag == FORMAT_PCM:
-        return np.frombuffer(data, "<i2", len(data) // 2)
+        if len(data) % 2:
+            raise ValueError("the last sample is cut short")
+        return np.frombuffer(data, "<i2")
     if tag == FORMAT_IMA and block > 4:
-        return decode_ima(raw[: len(raw) // block * block].reshape(-1, block)).ravel()
+        if 0 < len(data) % block < 4:
+            raise ValueError("the last block has no whole header")
+        return np.concatenate([np.zeros(0, np.int16), *(decode_ima(p).ravel() for p in ima_parts(block, data))])
     raise ValueError(f"format {tag:#x} isn't supported")
 
 
+def expand_all(files: list[tuple[int, int, bytes]]) -> list[np.ndarray | ValueError]:
+    """expand() of each (tag, block, data); whole ADPCM blocks of one size are decoded together."""
+    out: list[np.ndarray | ValueError] = [np.zeros(0, np.int16)] * len(files)
+    together: dict[int, list[int]] = {}
+    for k, (tag, block, data) in enumerate(files):
+        if tag == FORMAT_IMA and block > 4 and data and len(data) % block == 0:
+            together.setdefault(block, []).append(k)
+            continue
+        try:
+            out[k] = expand(tag, block, data)
+        except ValueError as e:
+            out[k] = e
+    for block, ks in together.items():
+        pcm = decode_ima(np.concatenate([ima_parts(block, files[k][2])[0] for k in ks]))
+        at = 0
+        for k in ks:
+            n = len(files[k][2]) // block
+            out[k] = pcm[at : at + n].ravel()
+            at += n
+    return out
+
+
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation in whole numbers, so that it is exact everywhere."""
     if rate == to or not len(pcm):
@@ -150,39 +193,64 @@ def describe(pcm: np.ndarray, rate: int) -> str:
     return f"ms={len(wide) * 1000 // rate};peak={int(np.abs(wide).max())};rms={rms};crossings={crossings};crc={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
+def _decoded(media: pa.Array, to: int) -> Iterator[tuple[bytes | None, bytes | None, np.ndarray | None, str | None]]:
+    """(file, data, PCM at rate ``to``, error) of each file; nulls for a null file, an error for one that can't be read."""
+
+    def group(files: list[bytes | None]) -> Iterator[tuple]:
+        read: list[tuple | ValueError | None] = []
+        for x in files:
+            try:
+                read.append(unpack(x) if x is not None else None)
+            except ValueError as e:
+                read.append(e)
+        good = [r for r in read if isinstance(r, tuple)]
+        samples = iter(expand_all([(tag, block, data) for tag, _, block, data in good]))
+        for x, r in zip(files, read, strict=True):
+            pcm = next(samples) if isinstance(r, tuple) else r
+            if isinstance(pcm, np.ndarray):
+                yield x, r[3], resample(pcm, r[1], to).astype("<i2"), None
+            else:
+                yield x, None, None, None if pcm is None else str(pcm)
+
+    held, size = [], 0
+    for x in media:
+        held.append(x.as_buffer().to_pybytes() if x.is_valid else None)
+        size += len(held[-1] or b"")
+        if size >= GROUP_BYTES:
+            yield from group(held)
+            held, size = [], 0
+    yield from group(held)
+
+
 def decode_media(df: DataFrame, media: str = "media", to: int = 16000) -> DataFrame:
     """df with ``pcm`` (binary, 16-bit samples at rate ``to``), ``feature`` and ``error`` for its WAVE column.
 
     A null file has null results; one that can't be read has its reason in error. Columns of df so named are
-    replaced; an empty table gives an empty result.
+    replaced; repeated rows get equal values; an empty table gives an empty result.
     """
     own = df.drop("pcm", "feature", "error")
     schema = T.StructType([*own.schema.fields, *(T.StructField(n, t()) for n, t in (("pcm", T.BinaryType), ("feature", T.StringType), ("error", T.StringType)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for x in batch.column(media):
-                try:
-                    if not x.is_valid:
-                        out.append((None, None, None))
-                        continue
-                    tag, rate, block, data = unpack(x.as_buffer().to_pybytes())
-                    pcm = resample(expand(tag, block, data), rate, to)
-                    out.append((pcm.astype("<i2").tobytes(), describe(pcm, to), None))
-                except ValueError as e:
-                    out.append((None, None, str(e)))
+            out = [(None, None, error) if pcm is None else (pcm.tobytes(), describe(pcm, to), None) for _, _, pcm, error in _decoded(batch.column(media), to)]
             more = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "pcm", "feature", "error"])
 
     return own.mapInArrow(run, schema)
 
 
+#: The codecs that texts are stored by, each a third of them by checksum.
+TEXT_CODECS = ("mulaw", "alaw", "ima")
+
+
 def store_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as the samples of a mu-law file.
+    """(doc_id, n_bytes, media): each whole text as the samples of a mu-law, A-law or ADPCM file.
 
-    The samples are the text's UTF-8 bytes and zeros up to a positive multiple of PAYLOAD_UNIT; a null text
-    counts as empty. Repeated rows get equal files; other columns are passed over.
+    The coded samples are the text's UTF-8 bytes and zeros up to a positive multiple of PAYLOAD_UNIT, which is
+    an ADPCM block; a null text counts as empty. The codec follows from the payload's checksum, so repeated
+    rows and equal texts get equal files. A null id stays null; an empty table gives an empty result; other
+    columns are passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +259,8 @@ def store_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             for x in batch.column("text").cast(pa.large_binary()).fill_null(b""):
                 raw = x.as_buffer().to_pybytes()
                 sizes.append(len(raw))
-                files.append(pack(raw + bytes(max(PAYLOAD_UNIT, -(-len(raw) // PAYLOAD_UNIT) * PAYLOAD_UNIT) - len(raw))))
+                payload = raw + bytes(max(PAYLOAD_UNIT, -(-len(raw) // PAYLOAD_UNIT) * PAYLOAD_UNIT) - len(raw))
+                files.append(pack(payload, TEXT_CODECS[zlib.crc32(payload) % len(TEXT_CODECS)], block=PAYLOAD_UNIT))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -199,26 +268,30 @@ def store_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def digest_media(stored: DataFrame, to: int = 16000) -> DataFrame:
-    """Digests of stored files, from the bytes that are read back out of them."""
+    """Digests of stored files, from the bytes that are read back out of them, and of the PCM that decode_media() stores.
+
+    A null file has null digests. One that can't be read has its own length and digest, no payload and no PCM,
+    and its reason as the feature. Repeated rows get equal values, an empty table gives an empty result, and
+    columns other than doc_id, n_bytes and media are passed over.
+    """
     schema = (
-        stored.select("doc_id").schema.add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string")
-        .add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+        stored.select("doc_id").schema.add("n_bytes", "long").add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long")
+        .add("media_bytes", "long").add("media_sha256", "string").add("feature", "string").add("pcm_bytes", "long").add("pcm_sha256", "string")
     )
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+
+    def digest(media: bytes | None, data: bytes | None, pcm: np.ndarray | None, error: str | None) -> tuple:
+        own = (None, None) if media is None else (len(media), sha256(media).hexdigest())
+        if data is None or pcm is None:
+            return (None, None, None, *own, error and f"error={error}", None, None)
+        samples = pcm.tobytes()
+        payload = (len(data), sha256(data).hexdigest(), zlib.crc32(data[-PAYLOAD_UNIT:]))
+        return (*payload, *own, describe(pcm, to), len(samples), sha256(samples).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for x in batch.column("media"):
-                media = x.as_buffer().to_pybytes()
-                tag, rate, block, data = unpack(media)
-                row = (
-                    len(data), sha256(data).hexdigest(), zlib.crc32(data[-PAYLOAD_UNIT:]), len(media), sha256(media).hexdigest(),
-                    describe(resample(expand(tag, block, data), rate, to), to),
-                )
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            arrays = [pa.array(v, t) for v, t in zip(out, types, strict=True)]
+            rows = [digest(*found) for found in _decoded(batch.column("media"), to)]
+            arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *arrays], names=schema.names)
 
-    return stored.mapInArrow(run, schema)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
