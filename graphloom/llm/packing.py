@@ -128,11 +128,16 @@ def load_tokenizer(shared) -> WordTokenizer:
 
 #: Texts whose words are numbered together.
 GROUP = 256
+_PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
 
 
 def token_pieces(docs: DataFrame, tokenizer, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """The pieces of each document: whole windows and a rest, with the task and the rank among its pieces of that length."""
+    """The pieces of each document: whole windows and a rest, with the task and the rank among its pieces of that length.
+
+    A null or empty text is end_id alone; a null id stays null; repeated rows have pieces each; an empty table
+    gives an empty result; other columns are passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -216,6 +221,47 @@ def _slots(histogram: dict[int, int], window: int) -> tuple[list[tuple], int]:
     return rows, sequence
 
 
+class Places:
+    """The slots of bin_patterns() by length: for the ``at``-th piece of a length, its sequence and its offset there.
+
+    Each pattern uses up a length and lengths add up to a window at most, so there are less than window patterns
+    of less than sqrt(2 * window) lengths each: what tasks are sent has a bound that the data can't move.
+    """
+
+    def __init__(self, rows: list[tuple], whole_from: int, window: int) -> None:
+        self.whole_from, self.window = whole_from, window
+        table = np.array(sorted(rows), np.int64).reshape(-1, 6)
+        self.low, self.first, self.many, self.base = table[:, 1], table[:, 3], table[:, 4], table[:, 5]
+        # Slots of a length lie together in order of their first rank; one key says length and rank.
+        self.begin = np.searchsorted(table[:, 0], np.arange(window + 1))
+        self.lengths = table[:, 0]
+
+    def __call__(self, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sequence, offset = self.whole_from + at, np.zeros_like(at)
+        for one in np.unique(length[length < self.window]).tolist():
+            here = np.flatnonzero(length == one)
+            begin, end = self.begin[one], self.begin[one + 1]
+            slot = begin + np.searchsorted(self.low[begin:end], at[here], "right") - 1
+            turn = at[here] - self.low[slot]
+            sequence[here] = self.first[slot] + turn // self.many[slot]
+            offset[here] = self.base[slot] + turn % self.many[slot] * one
+        return sequence, offset
+
+
+def _place(places):
+    """Rows of pieces with their rank among all pieces of their length, as rows with a sequence and an offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = places.value
+        for batch in batches:
+            length, at = (batch.column(c).to_numpy() for c in ("length", "at"))
+            sequence, offset = find(length, at)
+            columns = [batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[f.split()[0] for f in _PLACED.split(", ")])
+
+    return run
+
+
 def pack_documents(docs: DataFrame, tokenizer, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of each row of docs.
 
@@ -231,19 +277,8 @@ def pack_documents(docs: DataFrame, tokenizer, text: str = "text", doc_id: str =
     ).select("part", "length", "before")
     totals = {r["length"]: r["many"] for r in by_part.groupBy("length").agg(F.sum("many").alias("many")).collect()}
     rows, sequences = _slots({k: v for k, v in totals.items() if k < window}, window)
-    # Whole windows follow the packed ones, one sequence each.
-    if window in totals:
-        rows.append((window, 0, totals[window], sequences, 1, 0))
-    slots = spark.createDataFrame(rows, "length long, low long, high long, first long, many long, base long")
-    placed = pieces.join(before, ["part", "length"]).withColumn("at", F.col("rank") + F.col("before"))
-    found = placed.join(slots, (placed["length"] == slots["length"]) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
-    turn = F.col("at") - F.col("low")
-    return found.select(
-        "doc_id",
-        "start",
-        placed["length"],
-        "ids_crc32",
-        "doc_tokens",
-        (F.col("first") + F.floor(turn / F.col("many"))).cast("long").alias("sequence_id"),
-        (F.col("base") + turn % F.col("many") * placed["length"]).cast("long").alias("offset"),
-    )
+    # Whole windows follow the packed ones, one sequence each. Pieces look their slots up where they are: a join by
+    # length would send all whole windows to one task.
+    places = spark.sparkContext.broadcast(Places(rows, sequences, window))
+    ranked = pieces.join(before, ["part", "length"]).withColumn("at", F.col("rank") + F.col("before"))
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at").mapInArrow(_place(places), _PLACED)

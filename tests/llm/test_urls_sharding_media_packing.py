@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import zlib
@@ -87,6 +88,62 @@ def test_media_columns(spark):
     assert telephony.digest_media(telephony.store_texts(docs.limit(0))).count() == 0
 
 
+def plain_pcm(media):
+    """Samples at 16 kHz of a file, one by one, by its format's own rule."""
+    tag, rate, block, data = telephony.unpack(media)
+    if tag == telephony.FORMAT_IMA:
+        pcm = [s for at in range(0, len(data), block) for s in ima(data[at : at + block])]
+    else:
+        pcm = [int((telephony.MULAW if tag == telephony.FORMAT_MULAW else telephony.ALAW)[b]) for b in data]
+    assert rate == 8000
+    return [(v if k % 2 == 0 else (v + pcm[min(k // 2 + 1, len(pcm) - 1)]) // 2) for k in range(2 * len(pcm)) for v in [pcm[k // 2]]]
+
+
+def test_text_digests_match_a_plain_reading(spark):
+    rng = random.Random(4)
+    texts = ["", None, "a", "é" * 100, "x" * 64, "y" * 65, "a", *("".join(rng.choices("ab é\n", k=rng.randint(0, 300))) for _ in range(30)), "long " * 20_000]
+    docs = spark.createDataFrame([(i, t, b"m", 1) for i, t in enumerate(texts)] + [(None, "no id", b"", 2)], "doc_id long, text string, media binary, n_bytes int")
+    stored = {r["doc_id"]: bytes(r["media"]) for r in telephony.store_texts(docs).collect()}
+    assert {telephony.unpack(m)[0] for m in stored.values()} == {telephony.CODECS[c] for c in telephony.TEXT_CODECS}
+    found = telephony.digest_media(telephony.store_texts(docs)).collect()
+    assert len(found) == len(texts) + 1
+    for r in found:
+        raw = ("no id" if r["doc_id"] is None else texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = stored[r["doc_id"]]
+        assert telephony.unpack(media)[3] == payload
+        assert (r["payload_sha256"], r["media_bytes"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), len(media), hashlib.sha256(media).hexdigest())
+        pcm = plain_pcm(media)
+        squares = int((sum(v * v for v in pcm) // len(pcm)) ** 0.5)
+        crossings = sum((a < 0) != (b < 0) for a, b in itertools.pairwise(pcm))
+        raw_pcm = np.array(pcm, "<i2").tobytes()
+        assert r["feature"] == f"ms={len(pcm) // 16};peak={max(map(abs, pcm))};rms={squares};crossings={crossings};crc={zlib.crc32(raw_pcm)}"
+        assert (r["pcm_bytes"], r["pcm_sha256"]) == (len(raw_pcm), hashlib.sha256(raw_pcm).hexdigest())
+
+
+def test_malformed_media_have_errors(spark):
+    data = bytes(range(256)) * 2
+    good = {c: telephony.pack(data, c) for c in telephony.CODECS}
+    at = good["mulaw"].index(b"fmt ") + 8
+    no_rate = good["mulaw"][: at + 4] + bytes(4) + good["mulaw"][at + 8 :]
+    short_format = b"RIFF" + (28).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + good["mulaw"][at : at + 8]
+    stereo = good["mulaw"][: at + 2] + b"\2\0" + good["mulaw"][at + 4 :]
+    cut_header = telephony.pack(data[:258], "ima")
+    half_sample = telephony.pack(data[:5], "pcm")
+    bad = [b"", b"RIFF", no_rate, short_format, stereo, cut_header, half_sample, good["pcm"][:-3], good["ima"].replace(b"\x11\0", b"\x99\0", 1)]
+    rows = [(i, len(m), m) for i, m in enumerate([*good.values(), *bad])] + [(90, None, None), (91, 0, telephony.pack(b"")), (92, 0, telephony.pack(data[:300], "ima"))]
+    media = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    decoded = {r["doc_id"]: r for r in telephony.decode_media(media.withColumn("error", F.lit(1))).collect()}
+    digests = {r["doc_id"]: r for r in telephony.digest_media(media).collect()}
+    assert all(decoded[i]["error"] is None for i in (0, 1, 2, 3, 90, 91, 92)) and all(decoded[i]["error"] for i in range(4, 13))
+    assert all(digests[i]["feature"].startswith("error=") and digests[i]["media_sha256"] and digests[i]["pcm_bytes"] is None for i in range(4, 13))
+    assert digests[90]["feature"] is None and digests[90]["media_bytes"] is None and digests[91]["pcm_bytes"] == 0
+    for i in (0, 1, 2, 3, 92):
+        assert digests[i]["pcm_sha256"] == hashlib.sha256(decoded[i]["pcm"]).hexdigest() and digests[i]["feature"] == decoded[i]["feature"]
+    short = ima(data[:256]) + ima(data[256:300])
+    assert np.frombuffer(decoded[92]["pcm"], "<i2")[::2].tolist() == short
+
+
 def test_closest_fill_matches_brute_force():
     rng = random.Random(5)
     for _ in range(200):
@@ -98,6 +155,27 @@ def test_closest_fill_matches_brute_force():
         assert sum(k * n for k, n in taken.items()) == best
 
 
+def test_packing_of_whole_windows_and_equal_lengths(spark):
+    """Most rows have one length: whole windows, and empty texts as fillers of one id."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    texts = ["the " * 4095] * 40 + ["the " * 9000] * 5 + [""] * 300 + [None] * 7 + ["the " * k for k in (1, 2, 4094, 4090, 100, 100)]
+    docs = spark.createDataFrame([(i % 50, t, 5, "x") for i, t in enumerate(texts)] + [(None, "the", 6, "y")], "doc_id long, text string, length int, sequence_id string").repartition(5)
+    rows = packing.pack_documents(docs, packing.word_tokenizer(spark, path)).collect()
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    for pieces in by_sequence.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+    total = sum(len((t or "").split()) + 1 for t in texts) + 2
+    assert sum(r["length"] for r in rows) == total and len(by_sequence) <= -(-total // packing.WINDOW) + 1
+    assert sum(r["doc_id"] is None for r in rows) == 1
+
+
 def test_packing_is_gapless(spark):
     from tokenizers import Tokenizer
 
