@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,13 @@ def session(app: str = "graphloom", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder of spark.checkpoint.dir, so that loops have short plans and survive lost executors."""
+    """df from a checkpoint in the folder of spark.checkpoint.dir, so that loops have short plans and survive lost executors.
+
+    Where the session names none, a temporary folder serves a local master; on a cluster that is an error.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return df.checkpoint()
