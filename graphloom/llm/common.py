@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir, which all executors share, and go on from there.
 
-    A folder of our own is set only where the session names none, as in tests.
+    Where the session names none, a temporary folder serves a local master, whose executors are the driver; on a
+    cluster that is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return df.checkpoint()
 
@@ -38,6 +42,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key of more than one in so many rows is dealt out.
+HEAVY = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str) -> DataFrame:
+    """left joined with right by keys, with the rows of a common key dealt to many tasks.
+
+    right has a row for each key, and in ``many`` the number of rows that left has with it. A key of more than
+    one in HEAVY of these rows stands for several keys, each of that share at most: left's rows choose one by a
+    hash of the columns named in ``by``, and right has the row for each. There are fewer than HEAVY such keys, so
+    they can be broadcast. No key may be null. right is read three times and should be a written table.
+    """
+    total = right.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    share = max(1, total // HEAVY)
+    salts = F.ceil(F.col("many") / share).cast("int")
+    heavy = right.filter(F.col("many") > share).select(*keys, salts.alias("__salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts")).cast("int"), F.lit(0))
+    salted = left.join(F.broadcast(heavy), keys, "left").withColumn("__salt", salt).drop("__salts")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("many")
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def bounded_sample(df: DataFrame, order: str, limit: int) -> list:
     """About ``limit`` rows of df at most, on the driver; all rows where there are no more.
 

@@ -45,7 +45,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs)
+    return dedup_lines(docs, whole_runs=True)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

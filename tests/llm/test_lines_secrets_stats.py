@@ -87,6 +87,34 @@ def test_whole_repeated_runs_go(spark):
     assert want != {d: full(t) for d, t in dedup(rows).items()}
 
 
+def test_line_dedup_query_takes_whole_runs(spark, tmp_path, monkeypatch):
+    """The query and its SQL against pairs of places: a two-line run, one common window, ties, repeated and null rows."""
+    import duckdb
+    from graphloom.llm import common, queries
+
+    monkeypatch.setattr(common, "HEAVY", 4)
+    rng = random.Random(21)
+    tail = " ".join(f"l{i}" for i in range(30)) + "\nthe tail of the run"
+    lines = [" ".join(rng.choices(["a", "b", "cc", "é"], k=rng.choice((1, 2, 9, 20, 35)))) for _ in range(9)] + ["", "  "]
+    rows = [(1, f"one\n{tail}\nx y"), (2, f"two\n{tail}\nz w"), (3, None), (4, ""), (5, "x y\n" * 40), (6, "x y\n" * 40)]
+    rows += [(10 + i, "\n".join(rng.choices(lines, k=rng.randint(1, 12)))) for i in range(40)]
+    two = " ".join(f"m{i}" for i in range(31)) + "\n\n  \n" + " ".join(f"n{i}" for i in range(31))
+    rows += [(60, f"{two}\n\nv"), (61, f"a\n\n{two}\n\nb"), (62, "\n" + "\n\n".join(reversed(two.split("\n\n  \n"))) + "\n")]
+    rows += [(100 + i, f"own {i}\n" + " ".join(f"w{k}" for k in range(32)) + f"\nend {i}") for i in range(60)]
+    docs = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], "doc_id long, text string, n_deleted int, key string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    full = lambda t: [x for x in (GAP.sub(" ", x).strip(" ") for x in (t or "").split("\n")) if x]
+    assert {d: full(r["text"]) for d, r in found.items()} == whole_runs(rows)
+    assert found[2]["text"] == "two\nz w" and found[2]["n_deleted"] == 2 and found[3]["text"] is None
+    assert found[61]["text"] == "a\n\n\nb" and found[62]["text"] == "\n"
+    sql = queries.oracle_sql()["op3_line_dedup"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")
+    for d, text, n, gone in duckdb.sql(sql).fetchall():
+        assert (found[d]["text"] or "", found[d]["n_lines"], found[d]["n_deleted"]) == (text, n, gone)
+    twice = line_dedup.dedup_lines(docs.union(docs), whole_runs=True).collect()
+    assert len(twice) == 2 * len(rows) and all(r["text"] == found[r["doc_id"]]["text"] for r in twice)
+
+
 def test_pipeline_drops_the_end_of_a_repeated_run_and_exact_copies(spark):
     def line(k, n):
         return " ".join(f"{k}{i}" for i in range(n))
@@ -136,6 +164,16 @@ def test_secrets(spark):
     assert math.isclose(secret_scan.term(4) / 1e6, 8)
 
 
+def test_long_candidates_overflow_no_stack(spark):
+    """Texts of 100,000 characters on which a recursive pattern would end the executor."""
+    n = 100_000
+    texts = ["a-" * (n // 2) + "12345", "a-" * (n // 2) + "a1234", "a" * n + "7", "abc/" * (n // 4) + "9", "x_1" * (n // 3), "0123456789abcdef" * (n // 16),
+             "01234567-89ab-cdef-0123-456789abcdef" * (n // 36), "secret=" + "k9" * n, "token: " + "-" * n, "AKIA" + "Z" * n, "password" * (n // 8), "api_key" + " " * n + "=abcdef1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.find_secrets(docs).collect():
+        assert [tuple(s) for s in r["secrets"]] == spans(texts[r["doc_id"]]), r["doc_id"]
+
+
 def stats(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
