@@ -1,4 +1,5 @@
 import random
+from hashlib import sha256
 
 import corpus_pipeline
 from graphloom.llm import bpe, cotraining, queries
@@ -39,6 +40,35 @@ def test_bpe_matches_tiktoken(spark):
     assert bpe.encode_texts(docs.limit(0), ranks, PATTERN).count() == 0
 
 
+def test_bpe_query_columns_match_tiktoken(spark, tmp_path, monkeypatch):
+    """The query's own columns, with few common words, small caches, repeated rows and a match of over 1 MiB."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    rng = random.Random(11)
+    monkeypatch.setattr(bpe, "COMMON_WORDS", 40)
+    monkeypatch.setattr(bpe, "COMMON_ROW", 10)
+    ranks = bpe.load_ranks(queries.tokenizer_path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def word():
+        return "".join(rng.choices("etaoinsré'-1.", k=rng.randint(1, 14)))
+
+    vocabulary = [word() for _ in range(60)]
+    texts = [None, "", "".join(rng.choices("abcdeé", k=1_200_000)) + " end", "ab" * 600_000, " " * 3000 + "x", "\n\n  \tx \n", "a\0 b"]
+    texts += [rng.choice(("", " ", "  ", "\n")).join(rng.choice(vocabulary) if rng.random() < 0.8 else word() for _ in range(rng.randint(0, 80))) for _ in range(120)]
+    texts += ["".join(rng.choices("abc", k=n)) for n in (255, 256, 257, 258, 1000)]
+    rows = [(i, t, b"x", "clash") for i, t in enumerate(texts)] + [(9, texts[9], b"", ""), (None, "no id", b"", "")]
+    spark.createDataFrame(rows, "doc_id long, text string, decoded binary, n_tokens string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op10_byte_bpe(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == sorted([*range(len(texts)), 9])
+    for r in found:
+        text = "no id" if r["doc_id"] is None else texts[r["doc_id"]] or ""
+        ids = plain.encode_ordinary(text)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest()), r["doc_id"]
+        assert r["decoded_sha256"] == sha256(text.encode()).hexdigest()
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
