@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+
+from pyspark.sql import Column
 
 WILDCARDS = "*?[{"
 
@@ -63,3 +66,8 @@ def to_regex(pattern: str, dialect: str = "path") -> str:
             out.append(re.escape(c))
         i += 1
     return "".join(out) + "$"
+
+
+def fits(regex: str) -> Callable[[Column], Column]:
+    """A test of one column, for functions over arrays; a lambda's default would count as a second argument there."""
+    return lambda value: value.rlike(regex)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,62 +149,122 @@ def _qualified_ids(rows: DataFrame, definitions: DataFrame, files: DataFrame) ->
     return own.union(plain).union(outside).union(inside).distinct()
 
 
-def candidates(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(rid, reference columns, candidate ``c``) by canonical name, else by that of the leaf; and by service key for service contexts.
+def symbol_profiles(symbols: DataFrame) -> DataFrame:
+    """(by, key, m, f, profiles): what scores ask of the symbols of a lookup key, counted.
 
-    A symbol that is found in two ways stands twice: then best and second best are equal, and nothing is resolved.
+    A profile is all that a score takes from a symbol but for its module and its full name: how many symbols have
+    it, and the first and last of them. The row with m and f empty counts all symbols of the key, one with m
+    those of a module, one with f those of a full name, one with both those of both. A key that a third of all
+    symbols have is a few rows with a few profiles each.
     """
-    record = F.struct("name", "full_name", "module", "language", "exported", "visibility", "is_service", "canonical_name", "canonical_full")
-    keys = lookup_keys(symbols).select("key", "by", record.alias("c"))
-    asked = rows.select("rid", "name", "language", "module", "context", "imps")
+    short = F.when((F.col("by") == "service") | F.col("key").endswith(F.col("canonical_name")), F.col("canonical_name")).otherwise("")
+    m, f = F.concat(F.lit("m"), "module"), F.concat(F.lit("f"), "canonical_full")
+    classes = F.array(*[F.struct(a.alias("m"), b.alias("f")) for a in (F.lit(""), m) for b in (F.lit(""), f)])
+    profile = F.struct(short.alias("short"), "language", (F.col("exported") | (F.col("visibility") == "public")).alias("open"), "is_service")
+    keyed = lookup_keys(symbols).select("by", "key", profile.alias("p"), F.struct("language", "module", "full_name", "name").alias("w"), F.explode(classes).alias("c"))
+    counted = keyed.groupBy("by", "key", "c.m", "c.f", "p").agg(F.count("*").alias("n"), F.min("w").alias("low"), F.max("w").alias("high"))
+    return counted.groupBy("by", "key", "m", "f").agg(F.collect_list(F.struct("p.*", "n", "low", "high")).alias("profiles"))
 
-    def found(by: str, make, only: Column) -> DataFrame:
-        own = keys.filter(F.col("by") == by).select("key", "c")
-        some = asked.filter(only)
-        whole = some.withColumn("key", make(F.col("name"))).join(own, "key").drop("key")
-        rest = some.join(whole.select("rid"), "rid", "left_anti").withColumn("key", make(leaf(F.col("name"))))
-        return whole.select("rid", "name", "language", "module", "context", "imps", "c").union(
-            rest.join(own, "key").select("rid", "name", "language", "module", "context", "imps", "c")
-        )
 
-    return found("name", canonical, F.lit(True)).union(found("service", service_key, F.col("context") == SERVICE))
-
-
-def candidate_score() -> Column:
-    name, c = F.col("name"), F.col("c")
-    own, own_leaf = canonical(name), canonical(leaf(name))
-
-    def points(test: Column, n: int) -> Column:
-        return F.when(test, n).otherwise(0)
+def _asked(rows: DataFrame) -> DataFrame:
+    """A row for each class of symbols that a reference asks for, with what the score takes from the reference."""
+    name, context = F.col("name"), F.col("context")
 
     def used(i: Column) -> Column:
         by_name = (i["name"] != "") & name.startswith(F.concat(i["name"], F.lit(".")))
         by_alias = (i["alias"] != "") & name.startswith(F.concat(i["alias"], F.lit(".")))
-        return (i["target"] == c["module"]) & (by_name | by_alias)
+        return (i["target"] != "") & (by_name | by_alias)
+
+    told = rows.select(
+        "rid", "language", "module", "context", is_bridge_reference(F.col("language"), name, context).alias("bridge"), canonical(name).alias("own"), canonical(leaf(name)).alias("leaf"),
+        F.array_distinct(F.transform(F.filter("imps", used), lambda i: i["target"])).alias("used"),
+        F.when(context == SERVICE, F.array(service_key(name), service_key(leaf(name)))).otherwise(F.array().cast("array<string>")).alias("service"),
+    )
+
+    def tiers(by: str, keys: Column) -> Column:
+        """The whole name's key before that of its last part."""
+        return F.transform(F.array_distinct(keys), lambda k, i: F.struct(F.lit(by).alias("by"), k.alias("key"), i.alias("tier")))
+
+    def classes(mark: str, values: Column) -> Column:
+        some = F.filter(F.array_distinct(values), lambda v: v != "")
+        return F.concat(F.array(F.lit("")), F.transform(some, lambda v: F.concat(F.lit(mark), v)))
+
+    keys = F.filter(F.concat(tiers("name", F.array("own", "leaf")), tiers("service", F.col("service"))), lambda x: x["key"] != "")
+    by_module, by_full = classes("m", F.concat(F.array("module"), F.col("used"))), classes("f", F.array("own", "leaf"))
+    spread = told.select("*", F.explode(keys).alias("k")).select("*", F.explode(by_module).alias("m")).select("*", F.explode(by_full).alias("f"))
+    return spread.select(*told.drop("service").columns, "k.*", "m", "f")
+
+
+def _points(test: Column, n: int) -> Column:
+    return F.when(test, n).otherwise(0)
+
 
-    context = F.col("context")
+def _score(p: Column, m: Column, f: Column) -> Column:
+    """The score of a symbol with profile p, in the module and with the full name that m and f say, if any."""
+    own, last, context = F.col("own"), F.col("leaf"), F.col("context")
+    module, full = F.substring(m, 2, 1 << 30), F.substring(f, 2, 1 << 30)
     return (
-        points((own != "") & (own == c["canonical_name"]), 8)
-        + points((own_leaf != "") & (own_leaf == c["canonical_name"]), 6)
-        + points((c["full_name"] != "") & (own != "") & (own == c["canonical_full"]), 6)
-        + points((c["full_name"] != "") & (own_leaf != "") & (own_leaf == c["canonical_full"]), 4)
-        + points((F.col("module") != "") & (c["module"] == F.col("module")), 5)
-        + points(F.col("language") == c["language"], 2)
-        + points(c["exported"] | (c["visibility"] == "public"), 1)
-        + points((c["module"] != "") & F.exists("imps", used), 4)
-        + points((context == SERVICE) & c["is_service"], 5)
-        + points(context.isin(FFI, PROCESS) & ~c["is_service"], 1)
-        + points(is_bridge_reference(F.col("language"), name, context) & (F.col("language") != c["language"]), 2)
+        _points((own != "") & (own == p["short"]), 8)
+        + _points((last != "") & (last == p["short"]), 6)
+        + _points((own != "") & (own == full), 6)
+        + _points((last != "") & (last == full), 4)
+        + _points((F.col("module") != "") & (module == F.col("module")), 5)
+        + _points(F.col("language") == p["language"], 2)
+        + _points(p["open"], 1)
+        + _points((module != "") & F.array_contains("used", module), 4)
+        + _points((context == SERVICE) & p["is_service"], 5)
+        + _points(context.isin(FFI, PROCESS) & ~p["is_service"], 1)
+        + _points(F.col("bridge") & (F.col("language") != p["language"]), 2)
     )
 
 
-def probabilistic_matches(found: DataFrame) -> DataFrame:
-    """(rid, best, second, resolved): the two best candidate scores; resolved if the best is high enough and 2 ahead."""
-    scores = found.select("rid", "context", candidate_score().alias("score")).groupBy("rid", "context").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+def candidate_scores(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(rid, best, second, resolved, abroad) of references that have candidates among the symbols.
+
+    Candidates are found by canonical name, else by that of the leaf; and by service key for service contexts. A
+    symbol that is found in two ways stands twice: then best and second best are equal, and nothing is resolved.
+    resolved says that the best score is high enough and 2 ahead; abroad counts distinct candidates of other
+    languages, up to 2 for each profile. No pair of a reference and a symbol is ever made: a symbol's score
+    follows from its class and profile, classes of a reference's own modules and names are counted apart, and
+    what they count is taken off the wider classes that hold them.
+    """
+    found = _asked(rows).join(symbol_profiles(symbols), ["by", "key", "m", "f"])
+    facts = ["language", "module", "context", "bridge", "own", "leaf", "used"]
+    row = F.struct("by", "tier", "m", "f", "profiles")
+    each = found.groupBy("rid").agg(*[F.first(c).alias(c) for c in facts], F.collect_list(row).alias("_all"))
+    kept = each.withColumn("_all", F.filter("_all", lambda x: ~F.exists("_all", lambda y: (y["by"] == x["by"]) & (y["tier"] < x["tier"]))))
+
+    def counts(x: Column) -> Column:
+        """(score, count) of each profile of a class, and of the wider classes that it is to be taken off."""
+
+        def one(p: Column) -> Column:
+            none, m, f, n = F.lit(""), x["m"], x["f"], p["n"]
+            both, empty = (m != "") & (f != ""), F.array().cast("array<struct<score:int,n:bigint>>")
+
+            def entry(m: Column, f: Column, n: Column) -> Column:
+                return F.struct(_score(p, m, f).alias("score"), n.alias("n"))
+
+            wide = F.when((m != "") | (f != ""), F.array(entry(none, none, F.when(both, n).otherwise(-n)))).otherwise(empty)
+            partly = F.when(both, F.array(entry(m, none, -n), entry(none, f, -n))).otherwise(empty)
+            return F.concat(F.array(entry(m, f, n)), wide, partly)
+
+        return F.flatten(F.transform(x["profiles"], one))
+
+    scored = kept.withColumn("_s", F.flatten(F.transform("_all", counts)))
+    values = F.sort_array(F.array_distinct(F.transform("_s", lambda e: e["score"])), False)
+
+    def total(v: Column) -> Column:
+        n = F.aggregate(F.filter("_s", lambda e: e["score"] == v), F.lit(0).cast("long"), lambda a, e: a + e["n"])
+        return F.struct(v.alias("score"), n.alias("n"))
+
+    ranked = scored.withColumn("_r", F.filter(F.transform(values, total), lambda t: t["n"] > 0))
+    best, next_ = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
+    second = F.when(best["n"] > 1, best["score"]).otherwise(F.coalesce(next_["score"], F.lit(0)))
     least = F.when(F.col("context") == SERVICE, 6).when(F.col("context").isin(FFI, PROCESS), 7).otherwise(8)
-    second = F.coalesce(F.get("s", F.lit(1)), F.lit(0))
-    best = F.get("s", F.lit(0))
-    return scores.select("rid", best.alias("best"), second.alias("second"), ((best >= least) & (best - second >= 2)).alias("resolved"))
+    wide = F.flatten(F.transform(F.filter("_all", lambda x: (x["m"] == "") & (x["f"] == "")), lambda x: x["profiles"]))
+    other = F.filter(wide, lambda p: (p["language"] != "") & (p["language"] != F.col("language")))
+    abroad = F.size(F.array_distinct(F.flatten(F.transform(other, lambda p: F.array(p["low"], p["high"])))))
+    return ranked.select("rid", best["score"].alias("best"), second.alias("second"), ((best["score"] >= least) & (best["score"] - second >= 2)).alias("resolved"), abroad.alias("abroad"))
 
 
 def assess(references: DataFrame, files: DataFrame, imports: DataFrame, definitions: DataFrame, symbols: DataFrame, options: Options = Options()) -> DataFrame:
@@ -220,15 +281,12 @@ def assess(references: DataFrame, files: DataFrame, imports: DataFrame, definiti
     in_lib = named_in(lib, "name").union(named_in(lib, "first")).distinct()
     clash = named_in(lib, "head").distinct()
     built_in = named_in(F.broadcast(builtins(spark)), "name").distinct()
-    found = candidates(rows, symbols)
-    probable = probabilistic_matches(found).filter("resolved").select("rid")
-    other = found.filter((F.col("c.language") != "") & (F.col("c.language") != F.col("language")))
-    abroad = other.groupBy("rid").agg(F.countDistinct(F.struct("c.language", "c.module", "c.full_name", "c.name")).alias("abroad"))
-    marks = {"in_lib": in_lib, "clash": clash, "built_in": built_in, "qualified": _qualified_ids(rows, definitions, files), "guessed": probable.distinct()}
-    marked = rows
-    for mark, ids in marks.items():
-        marked = marked.join(ids.withColumn(mark, F.lit(True)), "rid", "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
-    marked = marked.join(abroad, "rid", "left").withColumn("abroad", F.coalesce("abroad", F.lit(0)))
+    scores = candidate_scores(rows, symbols).select("rid", F.col("resolved").alias("guessed"), "abroad")
+    marks = {"in_lib": in_lib, "clash": clash, "built_in": built_in, "qualified": _qualified_ids(rows, definitions, files)}
+    every = reduce(DataFrame.union, [ids.select("rid", F.lit(mark).alias("mark")) for mark, ids in marks.items()])
+    told = every.groupBy("rid").agg(*[F.max(F.col("mark") == mark).alias(mark) for mark in marks])
+    marked = rows.join(told, "rid", "left").withColumns({mark: F.coalesce(mark, F.lit(False)) for mark in marks})
+    marked = marked.join(scores, "rid", "left").withColumns({"guessed": F.coalesce("guessed", F.lit(False)), "abroad": F.coalesce("abroad", F.lit(0))})
 
     def evidence(i: Column) -> Column:
         hint = is_bridge_import(F.col("language"), i["target"], i["name"])

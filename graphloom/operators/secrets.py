@@ -38,8 +38,8 @@ PATTERNS = (
 SENSITIVE = (
     f"(?i){BEFORE}(?:password|passwd|pwd|secret|api[_-]?key|token|auth[_-]?token|access[_-]?key|private[_-]?key|client[_-]?secret){AFTER}"
 )
-QUOTED_VALUE = "\"[^\"\\r\\n]{4,}\"|'[^'\\r\\n]{4,}'"
-QUOTED_TOKEN = r"""\"[A-Za-z0-9_\-+=:/.]{12,}\"|'[A-Za-z0-9_\-+=:/.]{12,}'""".replace('\\"', '"')
+QUOTED_VALUE = r""""[^"\r\n]{4,}"|'[^'\r\n]{4,}'"""
+QUOTED_TOKEN = r""""[A-Za-z0-9_\-+=:/.]{12,}"|'[A-Za-z0-9_\-+=:/.]{12,}'"""
 ENTROPY_EXTENSIONS = (".env", ".ini", ".json", ".key", ".pem", ".p12", ".pfx", ".crt", ".cer", ".yaml", ".yml", ".toml", ".conf", ".properties")
 
 
@@ -161,12 +161,12 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
 
 def skipped_paths(files: DataFrame, exclude_files: Sequence[str], exclude_dirs: Sequence[str]) -> DataFrame:
     """Files that are scanned: whose base name no file glob fits and of whose directories no directory glob does."""
-    from graphloom.functions.globs import to_regex
+    from graphloom.functions.globs import fits, to_regex
 
     parts = F.split("path", "/")
     out = files
     for g in exclude_files:
         out = out.filter(~F.element_at(parts, -1).rlike(to_regex(g, "flat")))
     for g in exclude_dirs:
-        out = out.filter(~F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d, r=to_regex(g, "flat"): d.rlike(r)))
+        out = out.filter(~F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), fits(to_regex(g, "flat"))))
     return out

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.secrets import file_lines
-
 
 def contains_symbol(line: Column, symbol: str) -> Column:
     """Whether the first occurrence of symbol stands between characters that no name has."""
@@ -19,8 +16,15 @@ def contains_symbol(line: Column, symbol: str) -> Column:
 
 
 def symbol_context(files: DataFrame, symbol: str, radius: int = 5, tags: DataFrame | None = None, content: str = "content") -> DataFrame:
-    """(path, line, text, context): each line with the symbol, and it with up to radius lines on each side; with tags (path, line, tag)."""
-    around = W.partitionBy("path").orderBy("line").rowsBetween(-radius, radius)
-    lines = file_lines(files, content).withColumn("context", F.collect_list("text").over(around))
-    hits = lines.filter(contains_symbol(F.col("text"), symbol)) if symbol else lines.limit(0)
+    """(path, line, text, context): each line with the symbol, and it with up to radius lines on each side; with tags (path, line, tag).
+
+    Only files that contain the symbol are cut into lines, and context is a slice of them, so nothing is shuffled.
+    """
+    if not symbol:
+        files = files.limit(0)
+    cut = files.filter(F.contains(F.col(content), F.lit(symbol))).select("path", F.split(content, "\n", -1).alias("_l"))
+    each = cut.select("path", "_l", F.posexplode("_l").alias("_i", "text")).filter(contains_symbol(F.col("text"), symbol))
+    first = F.greatest(F.col("_i") - radius, F.lit(0))
+    context = F.slice("_l", first + 1, F.col("_i") + radius + 1 - first)
+    hits = each.select("path", (F.col("_i") + 1).alias("line"), "text", context.alias("context"))
     return hits if tags is None else hits.join(tags, ["path", "line"], "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +28,19 @@ text/tabwriter text/template text/template/parse time time/tzdata unicode unicod
 SCRIPT = "assert buffer child_process crypto events fs fs/promises http https os path stream timers url util zlib node:fs node:path node:url"
 JAVA = "java.lang java.util java.io java.net java.nio java.time java.math java.sql java.text javax.crypto javax.net"
 RUST = "std std::alloc std::borrow std::cmp std::collections std::env std::fmt std::fs std::io std::path std::str std::sync std::thread std::time core alloc"
+PYTHON = """
+abc aifc argparse array ast asyncio atexit base64 bdb binascii bisect builtins bz2 calendar cgi cgitb chunk cmath cmd code codecs
+collections colorsys compileall concurrent configparser contextlib copy copyreg crypt csv ctypes curses dataclasses datetime dbm decimal
+difflib dis distutils doctest email encodings enum errno faulthandler fcntl filecmp fileinput fnmatch fractions ftplib functools gc getopt
+getpass gettext glob graphlib grp gzip hashlib heapq hmac html http imaplib imghdr imp importlib inspect io ipaddress itertools json
+keyword lib2to3 linecache locale logging lzma mailbox mailcap marshal math mimetypes mmap modulefinder multiprocessing netrc nis nntplib
+numbers operator optparse os ossaudiodev parser pathlib pdb pickle pickletools pipes pkgutil platform plistlib poplib posix posixpath
+pprint profile pstats pty pwd py_compile pyclbr pydoc queue quopri random re readline reprlib resource rlcompleter runpy sched secrets
+select selectors shelve shlex shutil signal site smtpd smtplib sndhdr socket socketserver spwd sqlite3 ssl stat statistics string
+stringprep struct subprocess sunau symtable sys sysconfig syslog tabnanny tarfile tempfile termios test textwrap threading time timeit
+tkinter token tokenize tomllib trace traceback tracemalloc tty turtle turtledemo types typing unicodedata unittest urllib uu uuid venv
+warnings wave weakref webbrowser winreg winsound wsgiref xdrlib xml xmlrpc zipapp zipfile zipimport zlib
+"""
 PYTHON_BUILTINS = """
 abs aiter all anext any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex delattr dict dir divmod
 enumerate eval exec filter float format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass iter len list
@@ -39,14 +51,12 @@ GO_BUILTINS = """
 append cap close complex copy delete imag len make new panic print println real recover bool byte complex64 complex128 error float32
 float64 int int8 int16 int32 int64 rune string uint uint8 uint16 uint32 uint64 uintptr nil true false iota
 """
-#: Dotted modules of Python's library that are usually named in full.
-PYTHON_DOTTED = "collections.abc concurrent.futures email.message http.client http.server importlib.metadata logging.handlers os.path unittest.mock urllib.error urllib.parse urllib.request xml.etree.ElementTree"
 
 
 def stdlib_names() -> dict[str, set[str]]:
     """Library names by language: full ones, and the parts by which code refers to them."""
     go = {n for p in GO.split() for n in (p, p.rsplit("/", 1)[-1])}
-    python = {n for n in sys.stdlib_module_names if not n.startswith("_")} | {"__future__", *PYTHON_DOTTED.split()}
+    python = {n for p in PYTHON.split() for n in (p, p.split(".", 1)[0])}
 
     def parts(text: str) -> set[str]:
         return {x for p in text.split() for x in (p, *re.split("[/.:]+", p)) if x}

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.operators.stdlib import stdlib_names
+
 NAME = "lower({p}.p_brand) || '/' || CAST({p}.p_partkey AS STRING)"
 
 
@@ -117,12 +119,42 @@ CTES = {
       LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = m.name GROUP BY m.name""",
     "links": "SELECT DISTINCT a.component AS x, b.component AS y FROM inner_edges e JOIN comps a ON e.src = a.node JOIN comps b ON e.dst = b.node WHERE a.component <> b.component",
     "long_ways(c, d)": "SELECT DISTINCT component, 0 FROM comps UNION SELECT l.x, w.d + 1 FROM long_ways w JOIN links l ON l.y = w.c",
+    "file_imports": """SELECT f.path, e.src AS module, e.line AS seq, e.dst AS target, CAST(split_part(e.dst, '/', 2) AS INT) AS t,
+      CASE WHEN CAST(split_part(e.dst, '/', 2) AS INT) % 2 = 1 THEN 'Fn' || (CAST(split_part(e.dst, '/', 2) AS INT) % 7) END AS item FROM edges e JOIN files f ON f.module = e.src AND f.k = 0""",
+    "symbols": """SELECT b.name, b.full_name, b.module, f.language, b.exported, lower(b.name) AS cname, lower(replace(b.full_name, '.', '')) AS cfull,
+      contains(lower(b.full_name), 'server') AS service FROM best b JOIN files f USING (path)""",
+    "keys": """SELECT 'name' AS way, cname AS key, * FROM symbols UNION ALL SELECT 'name', cfull, * FROM symbols WHERE cfull <> cname UNION ALL SELECT 'service', cname, * FROM symbols WHERE service""",
+    "asked": """SELECT path, seq, name, language, module, context, lower(replace(name, '.', '')) AS own, lower(split_part(name, '.', -1)) AS leaf,
+      context IN ('service_bridge', 'ffi_bridge') AS bridge FROM refs""",
+    "hits": """SELECT a.path, a.seq, a.context, k.way, t.tier, k.module AS smodule, k.language AS slanguage, k.name AS sname, k.full_name AS sfull, a.language,
+      8 * (own = cname)::INT + 6 * (leaf = cname)::INT + 6 * (own = cfull)::INT + 4 * (leaf = cfull)::INT + 5 * (a.module = k.module)::INT + 2 * (a.language = k.language)::INT + k.exported::INT
+      + 5 * (a.context = 'service_bridge' AND k.service)::INT + (a.context = 'ffi_bridge' AND NOT k.service)::INT + 2 * (a.bridge AND a.language <> k.language)::INT AS score
+      FROM asked a, (VALUES ('name', 0), ('name', 1), ('service', 0), ('service', 1)) t(way, tier), keys k
+      WHERE k.way = t.way AND k.key = CASE t.tier WHEN 0 THEN a.own ELSE a.leaf END AND NOT (t.tier = 1 AND a.own = a.leaf) AND (t.way = 'name' OR a.context = 'service_bridge')
+      QUALIFY t.tier = min(t.tier) OVER (PARTITION BY a.path, a.seq, k.way)""",
+    "guesses": """SELECT path, seq, max(score) AS best, coalesce(list_sort(list(score), 'DESC')[2], 0) AS second, any_value(context) AS context,
+      count(DISTINCT (slanguage, smodule, sfull, sname)) FILTER (slanguage <> language) AS abroad FROM hits GROUP BY path, seq""",
+    "lib": " UNION ALL ".join(f"SELECT '{k}' AS language, unnest({sorted(v)}) AS name" for k, v in stdlib_names().items() if k in ("go", "python", "javascript")),
+    "assessed": """SELECT *, CASE WHEN score >= 8 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS confidence,
+        CASE WHEN answered OR score >= 8 THEN 'resolved' WHEN score >= 5 THEN 'probable' ELSE 'unresolved' END AS status
+      FROM (SELECT a.path, a.seq, a.name, a.context, CASE WHEN bridge THEN 5 ELSE 0 END + CASE WHEN g.abroad = 1 THEN 2 WHEN g.abroad > 1 THEN -2 ELSE 0 END
+          - CASE WHEN EXISTS (SELECT 1 FROM lib l WHERE l.language = a.language AND l.name = split_part(a.name, '.', 1)) THEN 3 ELSE 0 END AS score,
+        array_to_string(list_filter([CASE WHEN bridge THEN 'bridge_context' END, CASE WHEN bridge THEN 'bridge_prefix_heuristic' END, CASE WHEN g.abroad = 1 THEN 'unique_cross_language_candidate' END,
+          CASE WHEN g.abroad > 1 THEN 'ambiguous_cross_language_candidates' END,
+          CASE WHEN EXISTS (SELECT 1 FROM lib l WHERE l.language = a.language AND l.name = split_part(a.name, '.', 1)) THEN 'stdlib_conflict' END], lambda x: x IS NOT NULL), ',') AS reasons,
+        EXISTS (SELECT 1 FROM lib l WHERE l.language = a.language AND l.name IN (a.name, split_part(a.name, '.', 1)))
+        OR EXISTS (SELECT 1 FROM definitions d WHERE d.module = a.module AND d.name = a.name)
+        OR EXISTS (SELECT 1 FROM file_imports i WHERE i.path = a.path AND i.item = a.name AND (i.target NOT IN (SELECT module FROM files)
+          OR EXISTS (SELECT 1 FROM definitions d WHERE d.module = i.target AND d.name = i.item AND d.exported)))
+        OR coalesce(g.best >= CASE g.context WHEN 'service_bridge' THEN 6 WHEN 'ffi_bridge' THEN 7 ELSE 8 END AND g.best - g.second >= 2, false) AS answered
+      FROM asked a LEFT JOIN guesses g USING (path, seq))""",
     "depths": "SELECT node AS name, max(d) AS depth FROM comps JOIN long_ways ON component = c GROUP BY node",
 }
 NEEDS = {
     "definitions": ["files"], "refs": ["files"], "modules": ["files"], "edges": ["imports"], "inner_edges": ["edges", "modules"], "scored": ["definitions"], "best": ["scored"],
     "exports": ["definitions"], "fans": ["inner_edges"], "summaries": ["edges", "modules", "exports"], "reach(a, b)": ["inner_edges"], "comps": ["reach(a, b)"],
-    "links": ["comps"], "long_ways(c, d)": ["links"], "depths": ["long_ways(c, d)"],
+    "file_imports": ["edges", "files"], "symbols": ["best", "files"], "keys": ["symbols"], "asked": ["refs"], "hits": ["asked", "keys"], "guesses": ["hits"],
+    "assessed": ["guesses", "definitions", "file_imports", "lib"], "links": ["comps"], "long_ways(c, d)": ["links"], "depths": ["long_ways(c, d)"],
 }
 
 

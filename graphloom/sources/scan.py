@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.globs import normalize_path, to_regex
+from graphloom.functions.globs import fits, normalize_path, to_regex
 from graphloom.sources.languages import Language, base_name, is_test, language_of
 
 # Marks of generated files, looked for in their first bytes.
@@ -50,7 +50,7 @@ def source_files(
     parts = F.split("path", "/")
     kept = files.withColumn("language", language_of(F.col("path"), languages)).filter("language <> ''")
     for g in exclude_dirs:
-        kept = kept.filter(~F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d, r=to_regex(g, "flat"): d.rlike(r)))
+        kept = kept.filter(~F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), fits(to_regex(g, "flat"))))
     for g in exclude_files:
         kept = kept.filter(~base_name(F.col("path")).rlike(to_regex(g, "flat")))
     if not keep_tests:
