@@ -3,12 +3,15 @@
 One view reads the text (counts and shares over the whole of it), the other the page's metadata (source,
 language, length). Each view has a logistic model with a ridge. First both learn from the labelled documents.
 Then, in each round, every unlabelled document of which one view is confident becomes a pseudo-labelled one
-for the other view, and both learn anew. At last each view's log odds are calibrated on the labelled documents
-and a last logistic model combines the two.
+for the other view, and both learn anew. All of this is done FOLDS times side by side, each time without the
+labels of one fold of the documents. At last each view's log odds are calibrated on the labelled documents, and a
+last logistic model combines the two; there a document has the odds that the views without its label give it. All
+documents are scored by the mean of the folds' views.
 
 Fitting is distributed and covers all rows: a Newton step is one pass over the features, in which each task
-adds up a small gradient and Hessian for both views. Pseudo-labels are functions of the last round's weights,
-so they are never stored. Only sums of fixed size reach the driver.
+adds up a small gradient and Hessian for both views of each fold. Pseudo-labels are functions of the last round's
+weights, so they are never stored. Only sums of fixed size reach the driver. Sums are added in the order of the
+tasks, so a job that runs again over the same written features gives the same weights bit for bit.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ ROUNDS = 2
 #: Passes over the features: at first, in each round, and for the combination.
 FIRST_PASSES, ROUND_PASSES, LAST_PASSES = 10, 5, 6
 RIDGE = 1.0
+#: Parts of the labelled documents; each is left out of the views that calibration on it uses.
+FOLDS = 3
 #: A view labels a document for the other one if it gives one class at least this probability.
 CONFIDENT = 0.95
 #: A pseudo-label counts as this much of a label.
@@ -57,7 +62,7 @@ def _meta_view(source: Column, lang: Column, n_chars: Column) -> list[Column]:
 
 
 def features(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, keep: list[str]) -> DataFrame:
-    """A row for each document: keep columns, ``xa`` and ``xb`` (arrays of doubles) and ``y`` (double, null if unlabelled)."""
+    """A row for each document: keep columns, ``xa`` and ``xb`` (arrays of doubles), ``y`` (double, null if unlabelled) and ``fold``."""
     known = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("__label_id"))
@@ -75,7 +80,7 @@ def features(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id:
         F.array(F.lit(1.0), *_meta_view(F.col("__source"), F.col("__lang"), F.col("__n_chars"))).alias("xb"),
     )
     joined = table.join(known, F.col("__id") == F.col("__label_id"), "left")
-    return cut(joined.select(*[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], "xa", "xb", "y"))
+    return cut(joined.select(*[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], "xa", "xb", "y", F.pmod(F.xxhash64("__id"), F.lit(FOLDS)).cast("int").alias("fold")))
 
 
 def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -108,47 +113,66 @@ class Views:
     last: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _view_sums(views: Views):
+def _sent(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A task's sums with its number, by which they are put in order."""
+    from pyspark import TaskContext
+
+    if total is not None:
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+    return _table(batch, "xa"), _table(batch, "xb"), y, batch.column("fold").to_numpy(zero_copy_only=False)
+
+
+def _view_sums(folds: list[Views]):
+    """For each fold the parts of both views, without its labels; then the number of labels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            xa, xb = _table(batch, "xa"), _table(batch, "xb")
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+            xa, xb, y, fold = _columns(batch)
             known = ~np.isnan(y)
             parts = []
-            for x, w, teacher in ((xa, views.a, 1), (xb, views.b, 0)):
-                target, weight = np.where(known, y, 0.0), known.astype(float)
-                if views.last is not None:
-                    p = _probability(_odds((xa, xb)[teacher], views.last[teacher]))
-                    sure = ~known & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-                    target, weight = np.where(sure, np.round(p), target), np.where(sure, PSEUDO_WEIGHT, weight)
-                used = weight > 0
-                parts += _newton_parts(x[used], target[used], weight[used], w)
+            for f, views in enumerate(folds):
+                told = known & (fold != f)
+                for x, w, teacher in ((xa, views.a, 1), (xb, views.b, 0)):
+                    target, weight = np.where(told, y, 0.0), told.astype(float)
+                    if views.last is not None:
+                        p = _probability(_odds((xa, xb)[teacher], views.last[teacher]))
+                        sure = ~known & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
+                        target, weight = np.where(sure, np.round(p), target), np.where(sure, PSEUDO_WEIGHT, weight)
+                    used = weight > 0
+                    parts += _newton_parts(x[used], target[used], weight[used], w)
             sums = np.concatenate([*parts, [known.sum()]])
             total = sums if total is None else total + sums
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        yield from _sent(total)
 
     return run
 
 
-def _stack_sums(views: Views, w: np.ndarray):
+def _stack_sums(folds: list[Views], w: np.ndarray):
+    """Parts of both calibrations and of the combination, over odds from the views without a row's own label."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
-            known = ~np.isnan(y)
-            if known.any():
-                x = np.stack([np.ones(int(known.sum())), _odds(_table(batch, "xa")[known], views.a), _odds(_table(batch, "xb")[known], views.b)], 1)
+            if not batch.num_rows:
+                continue
+            xa, xb, y, fold = _columns(batch)
+            for f, views in enumerate(folds):
+                own = ~np.isnan(y) & (fold == f)
+                x = np.stack([np.ones(int(own.sum())), _odds(xa[own], views.a), _odds(xb[own], views.b)], 1)
                 parts = []
                 for columns, k in (([0, 1], 0), ([0, 2], 1), ([0, 1, 2], 2)):
-                    parts += _newton_parts(x[:, columns], y[known], np.ones(len(x)), w[k][: len(columns)])
+                    parts += _newton_parts(x[:, columns], y[own], np.ones(len(x)), w[k][: len(columns)])
                 sums = np.concatenate(parts)
                 total = sums if total is None else total + sums
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        yield from _sent(total)
 
     return run
 
@@ -159,15 +183,20 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column("sums"):
             sums = np.frombuffer(x.as_buffer(), np.float64)
             total = sums if total is None else total + sums
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+    yield from _sent(total)
 
 
 def _total(table: DataFrame, run) -> np.ndarray | None:
-    """The sums of all tasks, added up in two levels; the driver gets 8 rows at most."""
-    partial = table.select("xa", "xb", "y").mapInArrow(run, "sums binary")
-    rows = partial.repartition(8).mapInArrow(_add, "sums binary").collect()
-    return np.sum([np.frombuffer(r["sums"], np.float64) for r in rows], axis=0) if rows else None
+    """The sums of all tasks, added up in two levels, each in the order of its tasks; the driver gets a bounded number of rows."""
+    schema = "part int, sums binary"
+    partial = table.select("xa", "xb", "y", "fold").mapInArrow(run, schema)
+    some = partial.repartition(8, F.col("part") % 8).sortWithinPartitions("part")
+    rows = sorted(some.mapInArrow(_add, schema).collect())
+    out = None
+    for r in rows:
+        sums = np.frombuffer(r["sums"], np.float64)
+        out = sums if out is None else out + sums
+    return out
 
 
 class _Newton:
@@ -219,7 +248,7 @@ class CoTrained:
                 "meta_score": sure(F.lit(b0) + b1 * F.col("__b")),
                 "quality_score": sure(F.lit(c0) + c1 * F.col("__a") + c2 * F.col("__b")),
             }
-        ).drop("xa", "xb", "y", "__a", "__b")
+        ).drop("xa", "xb", "y", "fold", "__a", "__b")
 
 
 def fit(table: DataFrame, rounds: int = ROUNDS) -> CoTrained:
@@ -227,22 +256,26 @@ def fit(table: DataFrame, rounds: int = ROUNDS) -> CoTrained:
     first = table.select(F.size("xa").alias("a"), F.size("xb").alias("b")).first()
     da, db = (first["a"], first["b"]) if first else (1, 1)
     even = (np.array([0.0, 1.0]), np.array([0.0, 1.0])), np.array([0.0, 0.5, 0.5])
-    a, b, last = _Newton(np.zeros(da)), _Newton(np.zeros(db)), None
+    sides = [(_Newton(np.zeros(da)), _Newton(np.zeros(db))) for _ in range(FOLDS)]
+    last: list = [None] * FOLDS
     for turn in range(rounds + 1):
         for _ in range(ROUND_PASSES if turn else FIRST_PASSES):
-            sums = _total(table, _view_sums(Views(a.at, b.at, last)))
+            sums = _total(table, _view_sums([Views(a.at, b.at, x) for (a, b), x in zip(sides, last, strict=True)]))
             if sums is None or not sums[-1]:
                 return CoTrained(Views(np.zeros(da), np.zeros(db)), *even)
             cut_at = 1 + da + da * da
-            a.see(sums[:cut_at])
-            b.see(sums[cut_at:-1])
-        last = (a.best, b.best)
-        a.restart()
-        b.restart()
-    views = Views(a.best, b.best)
+            for (a, b), part in zip(sides, np.split(sums[:-1], FOLDS), strict=True):
+                a.see(part[:cut_at])
+                b.see(part[cut_at:])
+        last = [(a.best, b.best) for a, b in sides]
+        for side in sides:
+            for view in side:
+                view.restart()
+    folds = [Views(a.best, b.best) for a, b in sides]
+    views = Views(np.mean([v.a for v in folds], axis=0), np.mean([v.b for v in folds], axis=0))
     stack = [_Newton(w) for w in (*even[0], even[1])]
     for _ in range(LAST_PASSES):
-        sums = _total(table, _stack_sums(views, [s.at for s in stack]))
+        sums = _total(table, _stack_sums(folds, [s.at for s in stack]))
         for s, part in zip(stack, np.split(sums, [7, 14]), strict=True):
             s.see(part)
     return CoTrained(views, (stack[0].best, stack[1].best), stack[2].best)
