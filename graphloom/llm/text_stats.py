@@ -74,10 +74,11 @@ RATIOS = {
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, columns: list[str], limit: int, key: str = "doc_id") -> list[tuple]:
-    """(hash, label, columns...) of labelled rows; over limit of them, about limit with the least hash of key.
+    """(hash, label, columns...) of labelled rows; over limit of them, about limit with the least hashes.
 
-    Labels of one key are averaged and rounded; null labels and keys are passed over.
+    Labels of one key are averaged and rounded; null labels and keys are passed over. Rows that agree in key and
+    columns are one, so a key that many rows have can't pass the limit with all of them.
     """
     clean = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.round(F.avg(label)).cast("int").alias("__label"))
-    joined = stats.join(clean, F.col(key) == F.col("__key")).select(F.xxhash64(key).alias("__hash"), "__label", *columns)
+    joined = stats.join(clean, F.col(key) == F.col("__key")).select(F.xxhash64(key, *columns).alias("__hash"), "__label", *columns).distinct()
     return sorted(tuple(r) for r in bounded_sample(joined, "__hash", limit))

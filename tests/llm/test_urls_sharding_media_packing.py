@@ -46,6 +46,32 @@ def test_url_rules_and_trees(spark):
     assert ((score > 0) == (y[300:] == 1)).mean() > 0.95
 
 
+def test_url_trees_on_held_out_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    pages = pages.union(pages.filter("page_id % 50 = 0")).withColumn("verdict", F.lit("clash"))
+    bad = F.col("host").rlike("(^|[.-])(" + "|".join(queries.BAD_HOST_WORDS) + ")([.-]|$)").cast("int")
+    unseen = F.pmod(F.xxhash64("page_id"), F.lit(3)) == 0
+    found = url_filter.filter_urls(pages, queries.URL_RULES, F.when(~unseen, bad))
+    assert found.count() == pages.count()
+    judged = found.filter(unseen & F.col("rule").isNull()).select(bad.alias("bad"), (F.col("verdict") == "block").cast("int").alias("blocked")).collect()
+    assert sum(r["bad"] for r in judged) and sum(r["bad"] == r["blocked"] for r in judged) >= 0.95 * len(judged)
+
+
+def test_tree_columns_give_what_the_trees_predict(spark):
+    """Scores of the conditional expressions against the trees in numpy, for features of random URLs."""
+    rng = random.Random(14)
+    urls = ["http://" + "".join(rng.choices("ab-.1", k=rng.randint(1, 30))) + "/" + "".join(rng.choices("x/1?&", k=rng.randint(0, 20))) for _ in range(200)] + [None, ""]
+    parsed = url_filter.parse_urls(spark.createDataFrame(list(enumerate(urls)), "id long, url string")).withColumn("y", (F.length("host") % 2).cast("int"))
+    model = url_filter.train(parsed, "y")
+    assert model.trees
+    names = [f"f_{k}" for k in url_filter.FEATURES]
+    rows = url_filter.lexical(parsed, "url", model.suffix_column()).select("id", *names).collect()
+    scores = {r["id"]: r["url_score"] for r in model.score(parsed, "url").collect()}
+    x = np.array([[r[n] for n in names] for r in rows])
+    want = model.base + sum(url_filter._predict(t, x) for t in model.trees)
+    assert np.allclose([scores[r["id"]] for r in rows], want)
+
+
 def ima(block):
     """One block, sample by sample."""
     value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
