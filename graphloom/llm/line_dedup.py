@@ -83,7 +83,8 @@ def repeated_lines(
     max_lines: int = MAX_LINES,
     whole_runs: bool = True,
 ) -> DataFrame:
-    """Documents that have later repeated runs: id, key (hash of the text), and ``spans`` of their lines, numbered without blank ones."""
+    """Documents that have later repeated runs: id, key (hash of the text), ``go``, the numbers of their lines without
+    blank ones, and ``bound``, those of them that go together with the next one."""
     prints = cut(fingerprints(docs, text, doc_id, min_words, max_lines, whole_runs))
     place = F.struct("id", "key", "print_no")
     recurring = cut(
@@ -101,7 +102,17 @@ def repeated_lines(
         .select("c1", "c2", "first", "many")
     )
     later = spread_join(near, firsts, ["c1", "c2"], ["id", "first_no"], "inner").filter(here > F.col("first"))
-    return later.groupBy("id", "key").agg(F.collect_set(F.struct("first_no", "last_no")).alias("spans"))
+    # Numbers of the lines that go together with the next one: then so do the blank lines between the two.
+    if whole_runs:
+        bound = "filter(go, (k, j) -> get(go, j + 1) = k + 1)"
+    else:
+        bound = "array_distinct(flatten(transform(filter(spans, s -> s.last_no > s.first_no), s -> sequence(s.first_no, s.last_no - 1))))"
+    return (
+        later.groupBy("id", "key")
+        .agg(F.collect_set(F.struct("first_no", "last_no")).alias("spans"))
+        .select("id", "key", "spans", F.expr("array_sort(array_distinct(flatten(transform(spans, s -> sequence(s.first_no, s.last_no)))))").alias("go"))
+        .select("id", "key", "go", F.expr(bound).alias("bound"))
+    )
 
 
 def dedup_lines(
@@ -121,7 +132,7 @@ def dedup_lines(
     are named n_lines or n_deleted are replaced.
     """
     gone = repeated_lines(docs, text, doc_id, min_words, max_lines, whole_runs).select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")
+        F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("go").alias("__go"), F.col("bound").alias("__bound")
     )
     own = docs.drop("n_lines", "n_deleted")
     columns = [c for c in own.columns]
@@ -131,35 +142,20 @@ def dedup_lines(
     joined = keyed.join(
         gone.hint("shuffle_hash"), (keyed["__i"] == gone["__id"]) & (keyed["__k"] == gone["__key"]), "left"
     )
-    full = r"(l, i) -> l rlike '[^ \\t-\\r]'"
-    lines = (
-        joined.withColumn("__l", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-        .withColumn("__at", F.expr(r"filter(sequence(0, size(__l) - 1), i -> __l[i] rlike '[^ \\t-\\r]')"))
-        .withColumn("__go", F.expr("array_sort(array_distinct(flatten(transform(__spans, s -> sequence(s.first_no, s.last_no)))))"))
-    )
-    # Numbers of the lines that go together with the next one, and so do the blank lines between the two.
-    if whole_runs:
-        bound = "filter(__go, (k, j) -> get(__go, j + 1) = k + 1)"
-    else:
-        bound = "array_distinct(flatten(transform(filter(__spans, s -> s.last_no > s.first_no), s -> sequence(s.first_no, s.last_no - 1))))"
-    between = f"flatten(transform({bound}, k -> if(__at[k + 1] > __at[k] + 1, sequence(__at[k] + 1, __at[k + 1] - 1), array())))"
-    nos = f"concat(transform(__go, k -> __at[k]), {between})"
-    kept = f"if(__spans is null, __l, transform(array_except(sequence(0, size(__l) - 1), {nos}), k -> __l[k]))"
-    counted = lines.withColumn("__kept", F.expr(kept)).withColumns(
-        {
-            "n_lines": F.expr("cast(size(__at) as bigint)"),
-            "__left": F.expr(f"cast(size(filter(__kept, {full})) as bigint)"),
-        }
-    )
-    return counted.select(
-        *[
-            F.when(F.col(text).isNotNull(), F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))).alias(c)
-            if c == text
-            else F.col(c)
-            for c in columns
-        ],
-        "n_lines",
-        (F.col("n_lines") - F.col("__left")).alias("n_deleted"),
+    # Lines and the places of full ones are bound by lambdas: a filter over the result must not work them out for each line.
+    at = r"filter(sequence(0, size(l) - 1), i -> l[i] rlike '[^ \\t-\\r]')"
+    between = "flatten(transform(__bound, k -> if(at[k + 1] > at[k] + 1, sequence(at[k] + 1, at[k + 1] - 1), array())))"
+    gone = f"concat(transform(__go, k -> at[k]), {between})"
+    kept = f"transform(array_except(sequence(0, size(l) - 1), {gone}), k -> l[k])"
+
+    def of_lines(body: str) -> str:
+        return f"transform(array(split(coalesce(`{text}`, ''), '\\n', -1)), l -> transform(array({at}), at -> {body})[0])[0]"
+
+    left = F.expr(f"if(__go is null or `{text}` is null, `{text}`, {of_lines(f"array_join({kept}, '\\n')")})")
+    return joined.select(
+        *[left.alias(c) if c == text else F.col(c) for c in columns],
+        F.expr(f"cast({of_lines('size(at)')} as bigint)").alias("n_lines"),
+        F.expr("cast(if(__go is null, 0, size(__go)) as bigint)").alias("n_deleted"),
     )
 
 

@@ -127,6 +127,19 @@ def test_pipeline_drops_the_end_of_a_repeated_run_and_exact_copies(spark):
     assert left == {d: (t, len(t)) for d, t in want.items()}
 
 
+def test_long_documents_take_time_in_proportion(spark):
+    """Documents of 60,000 lines, one a copy, through the pipeline's stage with its filter: quadratic work would take minutes."""
+    import time
+
+    text = "\n\n".join(f"a{i} b{i % 7}" for i in range(60_000))
+    rows = [(1, text), (2, "own\n" + text), (3, text[: len(text) // 2] + " end\nlast"), (4, "\n" * 60_000)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    began = time.monotonic()
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert time.monotonic() - began < 60
+    assert left[1] == text and left[2].strip() == "own" and left[3].split("\n")[-1] == "last" and len(left[3]) < 50 and left[4] == "\n" * 60_000
+
+
 def spans(text):
     text, out = text or "", []
     for kind, pattern in enumerate((secret_scan.ASSIGN, r"AKIA[A-Z0-9]+", r"[0-9a-f]+", secret_scan.CANDIDATE)):
