@@ -6,9 +6,11 @@ clamped before any plan runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import threading
+import time
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from graphloom.operators import diagrams, graph, history, metrics, model, query,
 from graphloom.schemas import DEFINITIONS, FILES, IMPORTS, REFERENCES, SNAPSHOTS
 from graphloom.session import cut
 from graphloom.sinks import diagrams as draw
-from graphloom.sinks import reports
+from graphloom.sinks import outputs, reports
 from graphloom.sources import config as settings
 from graphloom.sources import extract, naming, scan
 from graphloom.sources.languages import Language, registry
@@ -28,7 +30,7 @@ VERSION = 1
 
 
 class OperationError(Exception):
-    """An error with a code: invalid_argument, not_found or unavailable."""
+    """An error with a code: invalid_argument, not_found, unavailable or forbidden."""
 
     def __init__(self, code: str, message: str) -> None:
         super().__init__(message)
@@ -43,18 +45,67 @@ class Project:
     tables: Mapping[str, DataFrame]
     config: settings.Config = field(default_factory=settings.Config)
     name: str = settings.DEFAULT_PROJECT
+    targets: outputs.Targets = field(default_factory=outputs.Targets)
+    #: Starts the background watch; what it gives has isActive and stop(), as streaming queries do.
+    watcher: Callable[[], Any] | None = None
+    watching: Any = None
+    lock: Any = field(default_factory=threading.Lock, repr=False)
 
     @classmethod
     def scanned(cls, spark: SparkSession, roots: list[str], config: settings.Config | None = None, languages: Mapping[str, Language] | None = None) -> Project:
         """Scan roots: read, filter, name modules, extract."""
-        config, languages = config or settings.Config(), languages or registry()
-        raw = scan.read_files(spark, roots)
-        sources = scan.source_files(raw, languages, config.exclude_dirs, config.exclude_files).cache()
+        config = config or settings.Config()
+        return cls(spark, cls._scan(spark, roots, roots, config, languages or registry()), config)
+
+    @staticmethod
+    def _scan(
+        spark: SparkSession, paths: Sequence[str], roots: Sequence[str], config: settings.Config, languages: Mapping[str, Language], known: Mapping[str, DataFrame] | None = None
+    ) -> dict[str, DataFrame]:
+        """The tables after a scan of paths; of ``known`` what lies elsewhere stays. Names of modules follow from all files."""
+        raw = scan.read_files(spark, list(paths))
+        # Not cached: a plan that is equal to an earlier scan's would get that one's files.
+        sources = cut(scan.source_files(raw, languages, config.exclude_dirs, config.exclude_files))
         gomods = raw.filter(F.substring_index("path", "/", -1) == "go.mod").select("path", F.decode("content", "UTF-8").alias("content"))
-        named = naming.with_modules(sources.select("path", "language"), gomods, roots[0].rstrip("/") if len(roots) == 1 else "")
-        rows = cut(extract.extract(sources))
+        new = {"sources": sources, "rows": extract.extract(sources), "gomods": gomods}
+        if known:
+            inside = [F.col("path").startswith(p.rstrip("/") + "/") | (F.col("path") == p) for p in scan.scan_roots(paths)]
+            other = ~reduce(lambda a, b: a | b, inside)
+            new = {k: known[k].filter(other).unionByName(v) for k, v in new.items()}
         # Results join these tables many times over, so their plans end here.
-        return cls(spark, {k: cut(v) for k, v in extract.tables(rows, cut(named)).items()} | {"sources": sources}, config)
+        new = {k: cut(v) for k, v in new.items()}
+        named = naming.with_modules(new["sources"].select("path", "language"), new["gomods"], roots[0].rstrip("/") if len(roots) == 1 else "")
+        return {k: cut(v) for k, v in extract.tables(new["rows"], cut(named)).items()} | new
+
+    def scan(self, paths: Sequence[str] = (), languages: Mapping[str, Language] | None = None) -> dict:
+        """Scan again: all roots, and files that are gone go; or some paths, whose files replace what is known of them.
+
+        One scan runs at a time; a second one is an error.
+        """
+        if paths and "rows" not in self.tables:
+            raise OperationError("unavailable", "paths can be scanned once the roots have been")
+        if not self.lock.acquire(blocking=False):
+            raise OperationError("unavailable", "a scan is running")
+        try:
+            began = time.monotonic()
+            roots = self.config.roots
+            new = self._scan(self.spark, list(paths) or roots, roots, self.config, languages or registry(), self.tables if paths else None)
+            self.tables = {**self.tables, **new}
+            self.forget()
+            return {"files": self.files.count(), "modules": self.modules.count(), "seconds": round(time.monotonic() - began, 3)}
+        finally:
+            self.lock.release()
+
+    def forget(self) -> None:
+        """Results that were planned over the tables as they were."""
+        for name in [k for k in self.__dict__ if isinstance(getattr(type(self), k, None), cached_property)]:
+            del self.__dict__[name]
+
+    def health(self) -> dict:
+        """up, or degraded if tables are missing; and the state of each part."""
+        parts = {"graph": f"ok ({self.files.count()} files, {self.modules.count()} modules)" if "files" in self.tables else "missing"}
+        parts["sources"] = "ok" if "sources" in self.tables else "missing"
+        parts["watch"] = "ok" if self.watching is not None and self.watching.isActive else "off"
+        return {"status": "degraded" if "missing" in parts.values() else "up", "components": parts}
 
     def _table(self, name: str, schema: str) -> DataFrame:
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], schema)
@@ -220,6 +271,8 @@ def _trends(p: Project, params: Mapping[str, Any]) -> dict:
 
 
 def _diagrams(p: Project, params: Mapping[str, Any]) -> dict:
+    if params.get("write"):
+        return {"written": outputs.write_outputs(p, p.targets, params.get("formats"))}
     wanted = [str(f).strip().lower() for f in params.get("formats") or draw.WRITERS]
     if bad := [f for f in wanted if f not in draw.WRITERS]:
         raise OperationError("invalid_argument", f"unknown format {bad[0]!r}")
@@ -228,7 +281,27 @@ def _diagrams(p: Project, params: Mapping[str, Any]) -> dict:
 
 
 def _report(p: Project, params: Mapping[str, Any]) -> dict:
-    return {"markdown": reports.markdown(p.results(), project=p.name, verbosity=str(params.get("verbosity") or "standard"))}
+    text = reports.markdown({k: cut(v) for k, v in p.results().items()}, project=p.name, verbosity=str(params.get("verbosity") or "standard"))
+    return {"markdown": text} | ({"written": outputs.write_text(p.targets.output(str(params["path"])), text)} if params.get("path") else {})
+
+
+def _select(p: Project, params: Mapping[str, Any]) -> dict:
+    try:
+        p.name = settings.active_project(p.config.projects, str(params["name"]))
+    except LookupError as e:
+        raise OperationError("not_found", str(e)) from e
+    p.forget()
+    return {"project": p.name}
+
+
+def _watch(p: Project, params: Mapping[str, Any]) -> dict:
+    """The watch is started once; asking again while it runs changes nothing."""
+    if p.watcher is None:
+        raise OperationError("unavailable", "the project has nothing to watch")
+    running = p.watching is not None and p.watching.isActive
+    if not running:
+        p.watching = p.watcher()
+    return {"status": "already_watching" if running else "watching"}
 
 
 def _secrets(p: Project, params: Mapping[str, Any]) -> dict:
@@ -236,7 +309,7 @@ def _secrets(p: Project, params: Mapping[str, Any]) -> dict:
 
 
 OPERATIONS: dict[str, Callable[[Project, Mapping[str, Any]], dict]] = {
-    "scan.run": lambda p, _: {"files": p.files.count(), "modules": p.modules.count()},
+    "scan.run": lambda p, params: p.scan([str(x) for x in params.get("paths") or ()]) if params.get("paths") or params.get("again") else {"files": p.files.count(), "modules": p.modules.count()},
     "secrets.scan": _secrets,
     "secrets.list": _secrets,
     "graph.cycles": _cycles,
@@ -247,16 +320,26 @@ OPERATIONS: dict[str, Callable[[Project, Mapping[str, Any]], dict]] = {
     "query.trends": _trends,
     "query.cql": lambda p, params: {"modules": _rows(p.cql(params["query"], _limit(params)))},
     "report.generate_markdown": _report,
+    "system.select_project": _select,
+    "system.watch": _watch,
+    "system.health": lambda p, _: p.health(),
 }
+#: Operations that change something outside their answer, with the parameter that makes them do so, if it takes one.
+MUTATIONS = {"graph.sync_diagrams": "write", "report.generate_markdown": "path", "system.select_project": "", "system.watch": ""}
 ALIASES = {"system.sync_outputs": "graph.sync_diagrams", "modules": "query.modules", "cycles": "graph.cycles", "trace": "query.trace"}
 
 
-def call(project: Project, operation: str, params: Mapping[str, Any] | None = None, allowed: set[str] | None = None) -> dict:
-    """{version, operation, result} of an operation; OperationError for one that isn't there or allowed, or wrong parameters."""
+def call(project: Project, operation: str, params: Mapping[str, Any] | None = None, allowed: set[str] | None = None, mutations: bool = False) -> dict:
+    """{version, operation, result} of an operation; OperationError for one that isn't there or allowed, or wrong parameters.
+
+    Files are written, the project is switched and the watch is started only with mutations.
+    """
     name = ALIASES.get(operation.strip().lower(), operation.strip().lower())
     if name not in OPERATIONS or (allowed is not None and name not in allowed):
         raise OperationError("invalid_argument", f"no operation {operation!r}")
     params = params or {}
+    if not mutations and name in MUTATIONS and (not MUTATIONS[name] or params.get(MUTATIONS[name])):
+        raise OperationError("forbidden", f"{name} isn't allowed to change anything")
     if len(params.get("paths") or ()) > MAX_PATHS:
         raise OperationError("invalid_argument", f"{MAX_PATHS} paths at most")
     try:

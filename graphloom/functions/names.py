@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -196,3 +197,18 @@ def python_relative(from_module: Column, statement: Column, level: Column) -> Co
     up = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level, F.lit(0)))
     rest = F.regexp_replace(statement, r"^\.+", "")
     return F.when(level <= 0, statement).otherwise(F.array_join(F.filter(F.concat(up, F.array(rest)), lambda x: x != ""), "."))
+
+
+def without_space(name: Column) -> Column:
+    """A reference's name without blanks, tabs and line ends."""
+    return F.regexp_replace(name, r"[ \t\r\n]+", "")
+
+
+def unquoted(value: Column) -> Column:
+    """A literal without white space and quotes around it."""
+    return F.regexp_replace(F.trim(value), "^[\"'`]+|[\"'`]+$", "")
+
+
+def split_trimmed(value: Column, separator: str) -> Column:
+    """The parts between separators without white space around them, without empty ones."""
+    return F.filter(F.transform(F.split(value, re.escape(separator), -1), lambda x: F.trim(x)), lambda x: x != "")

@@ -68,3 +68,8 @@ def call_sequence(references: DataFrame, definitions: DataFrame, entry: str, max
     depth = max_depth if max_depth > 0 else 5
     near = levels(hops, start, depth).filter(F.col("depth") < depth).select(F.col("node").alias("src"))
     return hops.join(near, "src", "left_semi")
+
+
+def in_order(ordered: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ordered (name, ord) whose name is among members, in their order."""
+    return ordered.join(members.select("name").distinct(), "name", "left_semi").orderBy("ord")

@@ -339,6 +339,11 @@ def uses(ref: Column, symbol: Column) -> Column:
     return (ref == symbol) | ref.startswith(F.concat(symbol, F.lit("("))) | ref.endswith(F.concat(F.lit("."), symbol)) | ref.contains(F.concat(symbol, F.lit(".")))
 
 
+def reference_hits(references: DataFrame) -> DataFrame:
+    """(path, name, hits): how often each file has a reference."""
+    return references.groupBy("path", "name").agg(F.count("*").alias("hits"))
+
+
 # Languages whose imports are checked.
 IMPORT_LANGUAGES = ("go", "python", "javascript", "typescript", "tsx", "java", "rust")
 

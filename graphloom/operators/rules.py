@@ -125,3 +125,8 @@ def rule_summary(modules: DataFrame, rules: DataFrame, violations: DataFrame) ->
         F.count("*").alias("violation_count"), F.count_if(F.col("type") == "file_count").alias("file_count_violations"), F.count_if(F.col("type") == "import").alias("import_violations")
     )
     return rules.agg(F.count("*").alias("rule_count")).crossJoin(seen).crossJoin(counts)  # three tables of one row each
+
+
+def ordered_rules(rules: DataFrame) -> DataFrame:
+    """Package rules by name; of one name those with fewer module patterns come first."""
+    return rules.orderBy("name", F.size("modules"))

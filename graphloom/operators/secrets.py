@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,12 +96,21 @@ def _finding(rows: DataFrame, kind: str, severity: str, confidence: Column, rank
 
 
 def pattern_findings(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    out = None
-    for i, p in enumerate((*PATTERNS, *settings.patterns)):
-        rows = _found(lines, p.regex, False).filter(~is_placeholder(F.col("value"))).withColumn("entropy", entropy(F.col("value")))
-        part = _finding(rows, p.name, p.severity.strip().lower() or "medium", F.lit(0.99), i)
-        out = part if out is None else out.union(part)
-    return out
+    """The matches of all patterns, found in one pass over the lines."""
+    every = (*PATTERNS, *settings.patterns)
+    text = F.col("text")
+
+    def ranked(i: int, regex: str) -> Column:
+        return F.transform(matches_in(text, regex), lambda m: F.struct(F.lit(i).alias("r"), m["value"].alias("value"), m["before"].alias("before")))
+
+    some = lines.filter(reduce(lambda a, b: a | b, [text.rlike(p.regex) for p in every]))
+    each = some.select("path", "line", F.explode(F.concat(*[ranked(i, p.regex) for i, p in enumerate(every)])).alias("m"))
+    kinds, severities = (F.array(*map(F.lit, x)) for x in ([p.name for p in every], [p.severity.strip().lower() or "medium" for p in every]))
+    found = each.filter(~is_placeholder(F.col("m.value"))).select(
+        F.get(kinds, F.col("m.r")).alias("kind"), F.get(severities, F.col("m.r")).alias("severity"), F.col("m.value").alias("value"), F.lit(0.99).alias("confidence"),
+        F.col("path").alias("file"), "line", (F.col("m.before") + 1).alias("col"), F.col("m.r").alias("_r"),
+    )
+    return found.withColumn("entropy", entropy(F.col("value"))).select("kind", "severity", "value", "entropy", "confidence", "file", "line", "col", "_r")
 
 
 def context_findings(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -66,6 +66,24 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v={version}")
 
 
+#: For each stored table: columns that a version of its schema added, with what older rows have in them.
+SCHEMAS: dict[str, dict[int, dict[str, str]]] = {
+    "snapshots": {2: {"project_key": "'default'"}},
+    "symbols": {7: {"usage_tag": "''", "confidence": "0.0D", "ancestry": "''", "line": "0"}},
+}
+
+
+def migrated(df: DataFrame, table: str, version: int) -> DataFrame:
+    """df, written under a version of its table's schema, with the columns of the newest one; ValueError for a newer version."""
+    steps = SCHEMAS.get(table, {})
+    if version > max(steps, default=1):
+        raise ValueError(f"{table} was written by a newer version: {version}")
+    for at in sorted(steps):
+        if at > version:
+            df = df.withColumns({c: F.expr(e) for c, e in steps[at].items() if c not in df.columns})
+    return df
+
+
 ACTIVE, STALE = "ACTIVE", "RE-VERIFICATION"
 OVERLAY_TYPES = ("EXCLUSION", "VETTED_USAGE", "RE-ALIAS")
 

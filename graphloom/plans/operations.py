@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, text
-from graphloom.operators import diagrams, graph, model, resolve, secrets, store
+from graphloom.operators import diagrams, graph, model, resolve, rules, secrets, store
 from graphloom.plans.derived import Derived, oracle
-from graphloom.plans.driver import _HUB, _SEARCH, _hub, _longs, _violations, register
+from graphloom.plans.driver import _HUB, _SEARCH, _file_imports, _hub, _longs, _violations, register
 from graphloom.schemas import FFI, PROCESS, SERVICE
 from graphloom.sinks import tsv
 from graphloom.sources import extract, languages, naming, scan
@@ -508,3 +508,117 @@ EXPLICIT = (resolve.Bridge("go", "brand#1*", "python", "worker", references=("li
 )
 def declared_bridges(d: Derived) -> DataFrame:
     return d.references.select("path", "seq", "name", resolve.matches_bridge(EXPLICIT).alias("declared"))
+
+
+_ODD_NAMES = "SELECT p_partkey AS id, concat(' ', replace(p_name, ' ', CASE p_partkey % 3 WHEN 0 THEN ' . ' WHEN 1 THEN ',, ' ELSE ' , ' END), '`\"') AS name FROM {part}"
+
+
+@register(
+    f"""WITH odd AS ({_ODD_NAMES.format(part="part")}) SELECT id, replace(name, ' ', '') AS tight, regexp_replace(regexp_replace(trim(name), '^["''`]+', ''), '["''`]+$', '') AS bare,
+      list_filter(list_transform(string_split(name, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM odd"""
+)
+def tidied_names(d: Derived) -> DataFrame:
+    odd = d.spark.sql(_ODD_NAMES, part=d.read("part"))
+    n = F.col("name")
+    return odd.select("id", names.without_space(n).alias("tight"), names.unquoted(n).alias("bare"), names.split_trimmed(n, ",").alias("parts"))
+
+
+@register("SELECT name, CAST(ord AS BIGINT) AS ord FROM (SELECT p_name AS name, p_partkey AS ord FROM part) WHERE name IN (SELECT p_name FROM part WHERE p_size > 45)")
+def ordered_members(d: Derived) -> DataFrame:
+    part = d.read("part")
+    return diagrams.in_order(part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")), part.filter("p_size > 45").select(F.col("p_name").alias("name")))
+
+
+@register("SELECT p_name AS name, [p_brand] || CASE WHEN p_size % 2 = 0 THEN ['x'] ELSE [] END AS modules FROM part")
+def rule_order(d: Derived) -> DataFrame:
+    patterns = F.concat(F.array("p_brand"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    return rules.ordered_rules(d.read("part").select(F.col("p_name").alias("name"), patterns.alias("modules")))
+
+
+# More of resolution, and of what a change affects.
+
+
+@register(
+    oracle(
+        """SELECT path, seq, CAST(best AS BIGINT) AS best, CAST(second AS BIGINT) AS second, best >= CASE context WHEN 'service_bridge' THEN 6 WHEN 'ffi_bridge' THEN 7 ELSE 8 END AND best - second >= 2 AS resolved,
+          CAST(least(abroad, 2) AS BIGINT) AS abroad FROM guesses""",
+        "guesses",
+    )
+)
+def candidate_scores(d: Derived) -> DataFrame:
+    from graphloom.operators import symbols
+
+    files = d.files.withColumn("local_symbols", F.array().cast("array<string>"))
+    scores = resolve.candidate_scores(resolve.with_context(d.references, files, _file_imports(d)), symbols.symbol_table(d.definitions, d.files))
+    return _longs(scores.select("rid.path", "rid.seq", "best", "second", "resolved", F.least("abroad", F.lit(2)).alias("abroad")), "best", "second", "abroad")
+
+
+@register(oracle("SELECT path, name, count(*) AS hits FROM refs GROUP BY path, name", "refs"))
+def reference_hits(d: Derived) -> DataFrame:
+    return resolve.reference_hits(d.references)
+
+
+_IMPORTED = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'tsx' WHEN 3 THEN 'java' WHEN 4 THEN 'rust' ELSE 'css' END AS language,
+  CASE p_partkey % 4 WHEN 0 THEN concat('lib/', a, '/', b, '.js') WHEN 1 THEN concat('io.grpc.', a, '.', b) WHEN 2 THEN concat('thrift::', a, '::', b) ELSE concat('os/exec', b) END AS target,
+  CASE p_partkey % 5 WHEN 0 THEN a ELSE '' END AS alias FROM (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM {part})"""
+_IMPORT_BASE = """CASE language WHEN 'go' THEN split_part(target, '/', -1) WHEN 'python' THEN split_part(target, '.', -1) WHEN 'java' THEN split_part(target, '.', -1) WHEN 'rust' THEN split_part(target, '::', -1)
+  WHEN 'tsx' THEN regexp_replace(split_part(target, '/', -1), '\\.[^.]*$', '') ELSE target END"""
+_IMPORT_HINT = " OR ".join(
+    f"{'language IN (' + ', '.join(map(repr, names.SCRIPT_LANGUAGES)) + ')' if k == 'javascript' else f"language = '{k}'"} AND ({_starts_sql('lower(target)', v)} OR {_starts_sql('lower(base)', v)})"
+    for k, v in names.BRIDGE_IMPORTS.items()
+)
+
+
+@register(f"SELECT id, language, target, base, CASE WHEN alias <> '' THEN alias ELSE base END AS name, {_IMPORT_HINT} AS bridge FROM (SELECT *, {_IMPORT_BASE} AS base FROM ({_IMPORTED.format(part='part')}))")
+def import_names(d: Derived) -> DataFrame:
+    rows = d.spark.sql(_IMPORTED, part=d.read("part"))
+    language, target = F.col("language"), F.col("target")
+    told = rows.withColumn("base", names.module_base(language, target))
+    return told.select("id", "language", "target", "base", names.import_name(language, target, F.col("alias")).alias("name"), names.is_bridge_import(language, target, F.col("base")).alias("bridge"))
+
+
+@register(
+    """SELECT p_partkey AS id, split_part(regexp_replace(j, '\\.\\*$', ''), '.', -1) AS java, split_part(regexp_replace(r, '::\\*$', ''), '::', -1) AS rust
+    FROM (SELECT p_partkey, replace(p_name, ' ', '.') || CASE WHEN p_size % 2 = 0 THEN '.*' ELSE '' END AS j, replace(p_name, ' ', '::') || CASE WHEN p_size % 3 = 0 THEN '::*' ELSE '' END AS r FROM part)"""
+)
+def import_leaves(d: Derived) -> DataFrame:
+    java = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.when(F.col("p_size") % 2 == 0, ".*").otherwise(""))
+    rust = F.concat(F.replace("p_name", F.lit(" "), F.lit("::")), F.when(F.col("p_size") % 3 == 0, "::*").otherwise(""))
+    return d.read("part").select(F.col("p_partkey").alias("id"), naming.java_module(java).alias("java"), naming.rust_module(rust).alias("rust"))
+
+
+@register(f"WITH {_PATHS_CTE} SELECT id, path, regexp_matches(path, '(_test\\.go|_test\\.py)$') AS test FROM paths")
+def test_files(d: Derived) -> DataFrame:
+    return _paths(d).select("id", "path", languages.is_test(F.col("path"), languages.registry()).alias("test"))
+
+
+@register(
+    oracle(
+        """SELECT path FROM files WHERE p_partkey % 211 = 7 UNION SELECT path FROM files WHERE module IN (SELECT n FROM importers)""",
+        "files", "edges", more="importers(n) AS (SELECT src FROM edges WHERE dst IN (SELECT module FROM files WHERE p_partkey % 211 = 7) UNION SELECT e.src FROM importers i JOIN edges e ON e.dst = i.n)",
+    )
+)
+def affected_files(d: Derived) -> DataFrame:
+    return watch.affected_paths(d.files.filter("p_partkey % 211 = 7"), d.edges, d.files)
+
+
+@register("SELECT p_partkey AS path, CASE WHEN p_size % 5 = 0 THEN 'new' ELSE 'old' END AS result FROM part WHERE p_size % 5 > 0 OR p_size % 2 = 0")
+def refreshed_results(d: Derived) -> DataFrame:
+    part = d.read("part")
+    cached = part.select(F.col("p_partkey").alias("path"), F.lit("old").alias("result"))
+    affected = part.filter("p_size % 5 = 0").select(F.col("p_partkey").alias("path"))
+    again = part.filter("p_size % 5 = 0 and p_size % 2 = 0").select(F.col("p_partkey").alias("path"), F.lit("new").alias("result"))
+    return watch.refreshed(cached, again, affected)
+
+
+@register(
+    """SELECT doc_id, CAST(line AS BIGINT) AS line, t AS text, CASE WHEN doc_id % 2 = 0 AND line <= 4 THEN 'REF_CALL' END AS tag FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+    WHERE regexp_matches(substr(t, instr(t, 'License') - 1, 9), '^[^A-Za-z0-9_]License([^A-Za-z0-9_]|$)') AND instr(t, 'License') > 1 OR regexp_matches(t, '^License([^A-Za-z0-9_]|$)')"""
+)
+def tagged_context(d: Derived) -> DataFrame:
+    from graphloom.operators import snippets
+
+    docs = d.read("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    tags = docs.filter("path % 2 = 0").select("path", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("line"), F.lit("REF_CALL").alias("tag"))
+    return _longs(snippets.symbol_context(docs, "License", tags=tags).select(F.col("path").alias("doc_id"), "line", "text", "tag"), "line")

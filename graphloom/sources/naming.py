@@ -20,7 +20,7 @@ def go_modules(files: DataFrame, gomods: DataFrame) -> DataFrame:
     ancestors = F.transform(
         F.sequence(F.lit(0), F.size(F.split("_dir", "/"))), lambda k: F.array_join(F.slice(F.split("_dir", "/"), F.lit(1), k), "/")
     )
-    found = own.withColumn("_root", F.explode(F.array_distinct(ancestors))).join(F.broadcast(roots), "_root")
+    found = own.withColumn("_root", F.explode(F.array_distinct(ancestors))).join(roots, "_root")
     nearest = W.partitionBy("path").orderBy(F.length("_root").desc())
     best = found.withColumn("_n", F.row_number().over(nearest)).filter("_n = 1").select("path", "_root", "_name")
     joined = own.drop("module").join(best, "path", "left")

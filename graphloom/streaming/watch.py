@@ -93,10 +93,14 @@ def start(
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
-def _state_before(spark: SparkSession, root: str, number: int) -> DataFrame:
-    """The newest version before a batch; a version of the batch itself is left from a run that failed later."""
+def versions_below(spark: SparkSession, root: str, number: int) -> list[int]:
+    """The versions of a table that are older than number; one of number itself is left from a run that failed later."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    versions = [int(v[2:]) for v in found if v.startswith("v=") and int(v[2:]) < number]
+    return [int(v[2:]) for v in found if v.startswith("v=") and int(v[2:]) < number]
+
+
+def _state_before(spark: SparkSession, root: str, number: int) -> DataFrame:
+    versions = versions_below(spark, root, number)
     return spark.read.parquet(f"{root}/v={max(versions)}") if versions else spark.createDataFrame([], STATE)
