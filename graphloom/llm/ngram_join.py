@@ -5,9 +5,12 @@
    steers the work: prefix filtering is exact under any order that all sets share.
 3. Sets that link share a shingle among the first ``n - ceil(percent * n / 100) + 1`` of each. These prefixes
    are matched by shingle. A shingle's place in a set bounds the size of a larger partner that it may be the
-   first common shingle with. Within one shingle, sets are merged in order of size into runs that these bounds
-   connect, before the shuffle and again after it, so a shingle that a third of all documents have sends a few
-   runs for each task and never pairs. Runs give candidate components.
+   first common shingle with. A shingle of up to FEW sets gives the pairs that these bounds allow. Within any
+   other, sets are merged in order of size into runs that the bounds connect, before the shuffle and again after
+   it, so a shingle that a third of all documents have sends a few runs for each task and never pairs. A pair
+   goes where the parities of both sets, a bit for each shingle, differ in more bits than sets that link can in
+   shingles. The order can't tell rare shingles of a large corpus apart, so without this, chance pairs would tie
+   ever more sets together. Runs and the pairs that stay give candidate components.
 4. A second look at the texts makes the sets of the candidates alone: a bitmap of fixed size passes over most
    other texts before the shuffle, and the join with the candidates over the rest.
 5. A candidate component goes to one task, which joins its sets in a prefix tree. One that is too large is
@@ -41,6 +44,8 @@ PARTS = 32
 BITS = 1 << 25
 #: Prefix entries that a task gathers before it merges and sends them.
 ENTRIES = 1_000_000
+#: Sets with one shingle that are compared by pairs; those of a shingle with more are merged in runs.
+FEW = 32
 #: Weight of a block of a candidate component: a set weighs its shingles and SET_WEIGHT.
 BLOCK_WEIGHT = 2_000_000
 SET_WEIGHT = 250
@@ -48,8 +53,41 @@ SET_WEIGHT = 250
 BAND_SLACK = 1.01
 
 
+def _parity(hashes: np.ndarray) -> bytes:
+    """For each of the values of a hash of shingles whether an odd number has it; as many bits as shingles, up to a power of two."""
+    bits = max(64, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(n: int, odd: bytes, m: int, other: bytes, percent: int) -> bool:
+    """False only if sets of n and m shingles with these parities can't link; the longer one is folded to the shorter.
+
+    A shingle of one set alone turns one bit, so the parities differ in no more bits than the sets do in shingles.
+    """
+    if len(odd) < len(other):
+        odd, other = other, odd
+    x, bits = int.from_bytes(odd, "little"), 8 * len(odd)
+    while bits > 8 * len(other):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(other, "little")).bit_count() <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
+def _near(percent: int):
+    """The pairs (a, b) that may link, of those with the sizes and parities of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n", "odd", "m", "other"))
+            keep = pa.array([_may_link(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return run
+
+
 def _features(width: int, extra: int):
-    names = ["id", "n", "sig", "part", "cells", *[f"x{i}" for i in range(extra)]]
+    names = ["id", "n", "sig", "parity", "part", "cells", *[f"x{i}" for i in range(extra)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, waiting, size = np.zeros(CELLS, np.uint32), [], 0
@@ -63,17 +101,21 @@ def _features(width: int, extra: int):
                 size = 0
 
         for batch in batches:
-            ns, signs = [], []
+            ns, signs, odd = [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 ns.append(len(s))
                 signs.append(signature(s) if len(s) else None)
+                odd.append(_parity(s) if len(s) else None)
                 waiting.append((s % np.uint64(CELLS)).astype(np.int64))
                 size += len(s)
                 if size > 2 * ENTRIES:
                     add()
             nothing = pa.nulls(len(ns))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(ns, pa.int64()), pa.array(signs, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary()), *batch.columns[2:]],
+                [
+                    *(batch.column("id"), pa.array(ns, pa.int64()), pa.array(signs, pa.binary()), pa.array(odd, pa.binary())),
+                    *(nothing.cast(pa.int32()), nothing.cast(pa.binary()), *batch.columns[2:]),
+                ],
                 names=names,
             )
         add()
@@ -81,7 +123,7 @@ def _features(width: int, extra: int):
         for p in range(PARTS):
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([p], pa.int32())),
+                    *(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([p], pa.int32())),
                     *(pa.array([zlib.compress(sketch[p * step : (p + 1) * step].tobytes(), 1)], pa.binary()), *[pa.nulls(1, pa.int64())] * extra),
                 ],
                 names=names,
@@ -170,6 +212,27 @@ def _runs(token: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray
     return token[starts], head, low[starts], np.maximum.reduceat(high, starts), edges[:, 0], edges[:, 1]
 
 
+def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of equal neighbours start, and how many each has."""
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(token)))
+
+
+def _pairs(token: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets, of groups of FEW at most that are sorted by token and size, that may link through the token."""
+    found = [np.zeros((0, 2), np.int64)]
+    for d in range(1, FEW):
+        i = np.flatnonzero(token[d:] == token[:-d])
+        if not len(i):
+            break
+        i = i[low[i + d] <= high[i]]
+        found.append(np.unique(np.sort(np.stack([node[i], node[i + d]], 1), axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same components with one edge for each node but the least."""
     names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -190,6 +253,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _POSTING = "bucket int, kind int, count int, payload binary"
+#: Kinds of postings: sets by token, edges, and runs of sets by token.
+_SINGLE, _EDGE, _RUN = 0, 1, 2
 
 
 def _posting(bucket: int, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -207,39 +272,52 @@ def _node(sig: bytes) -> int:
 def _prefixes(shared, percent: int, width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        tokens, nodes, sizes, waiting = [], [], [], 0
+        tokens, nodes, sizes, waiting, known = [], [], [], 0, set()
 
         def send() -> Iterator[pa.RecordBatch]:
             token = np.concatenate(tokens)
             counts = [len(t) for t in tokens]
             size = np.repeat(np.array(sizes, np.int64), counts)
             place = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
-            token, node, low, high, a, b = _runs(token, np.repeat(np.array(nodes, np.int64), counts), size, _bound(size, place, percent))
-            if len(a):
-                a, b = _forest(a, b)
-                yield _posting(int(abs(a[0]) % buckets), 1, a, b)
+            order = np.argsort(token, kind="stable")
+            every = token[order], np.repeat(np.array(nodes, np.int64), counts)[order], size[order], _bound(size, place, percent)[order]
+            group = _groups(every[0])[1]
+            many = np.repeat(group > FEW, group)
+            yield from sorted_out(_SINGLE, *(c[~many] for c in every))
+            if many.any():
+                *runs, a, b = _runs(*(c[many] for c in every))
+                if len(a):
+                    a, b = _forest(a, b)
+                    yield _posting(int(abs(a[0]) % buckets), _EDGE, a, b)
+                yield from sorted_out(_RUN, *runs)
+
+        def sorted_out(kind: int, token: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
             bucket = (token >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in range(buckets):
                 pick = order[at[k] : at[k + 1]]
                 if len(pick):
-                    yield _posting(k, 0, token[pick], node[pick], low[pick].astype(np.int32), high[pick].astype(np.int32))
+                    yield _posting(k, kind, token[pick], node[pick], low[pick].astype(np.int32), high[pick].astype(np.int32))
 
         for batch in batches:
             for s in shingle_sets(batch.column("text"), width):
                 n = len(s)
                 if not n:
                     continue
+                node = _node(signature(s))
+                if node in known:
+                    continue
+                known.add(node)
                 keep = n - -(-percent * n // 100) + 1
                 seen = sketch[(s % np.uint64(CELLS)).astype(np.int64)]
                 tokens.append(s[np.lexsort((s, seen))[:keep]])
-                nodes.append(_node(signature(s)))
+                nodes.append(node)
                 sizes.append(n)
                 waiting += keep
                 if waiting >= ENTRIES:
                     yield from send()
-                    tokens, nodes, sizes, waiting = [], [], [], 0
+                    tokens, nodes, sizes, waiting, known = [], [], [], 0, set()
         if tokens:
             yield from send()
 
@@ -247,26 +325,40 @@ def _prefixes(shared, percent: int, width: int, buckets: int):
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    """Edges (a, b): sure ones of runs, and pairs that are to be looked at."""
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    near, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for batch in batches:
         for kind, n, payload in zip(*(batch.column(c) for c in ("kind", "count", "payload")), strict=True):
-            n, raw = n.as_py(), payload.as_buffer()
-            if kind.as_py():
-                columns[4].append(np.frombuffer(raw, np.int64, n))
-                columns[5].append(np.frombuffer(raw, np.int64, n, 8 * n))
+            kind, n, raw = kind.as_py(), n.as_py(), payload.as_buffer()
+            if kind == _EDGE:
+                near.append(np.frombuffer(raw, np.int64, n))
+                far.append(np.frombuffer(raw, np.int64, n, 8 * n))
             else:
                 columns[0].append(np.frombuffer(raw, np.uint64, n))
                 columns[1].append(np.frombuffer(raw, np.int64, n, 8 * n))
                 columns[2].append(np.frombuffer(raw, np.int32, n, 16 * n).astype(np.int64))
                 columns[3].append(np.frombuffer(raw, np.int32, n, 20 * n).astype(np.int64))
+                columns[4].append(np.full(n, kind == _RUN))
     if columns[0]:
-        *_, a, b = _runs(*(np.concatenate(c) for c in columns[:4]))
-        columns[4].append(a)
-        columns[5].append(b)
-    if columns[4]:
-        a, b = _forest(np.concatenate(columns[4]), np.concatenate(columns[5]))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        *every, run = (np.concatenate(c) for c in columns)
+        order = np.lexsort((every[1], every[2], every[0]))
+        every, run = [c[order] for c in every], run[order]
+        new = np.ones(len(run), bool)  # a set that several tasks had counts once
+        new[1:] = run[1:] | run[:-1] | (every[0][1:] != every[0][:-1]) | (every[1][1:] != every[1][:-1])
+        every, run = [c[new] for c in every], run[new]
+        starts, group = _groups(every[0])
+        many = np.repeat((group > FEW) | np.logical_or.reduceat(run, starts), group)
+        yield _edges(False, *_pairs(*(c[~many] for c in every)))
+        if many.any():
+            *_, a, b = _runs(*(c[many] for c in every))
+            near.append(a)
+            far.append(b)
+    yield _edges(True, *_forest(np.concatenate(near), np.concatenate(far)))
+
+
+def _edges(sure: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
 
 
 def _sets(shared, width: int):
@@ -381,7 +473,7 @@ def shingle_components(
     spark = docs.sparkSession
     more = [F.col(c).cast("long").alias(f"x{i}") for i, c in enumerate(extra)]
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = "id long, n long, sig binary, part int, cells binary" + "".join(f", x{i} long" for i in range(len(extra)))
+    schema = "id long, n long, sig binary, parity binary, part int, cells binary" + "".join(f", x{i} long" for i in range(len(extra)))
     features = cut(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *more).mapInArrow(_features(width, len(extra)), schema))
     rows = features.filter("part is null").drop("part", "cells")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -389,12 +481,17 @@ def shingle_components(
     buckets = max(shuffle_width(spark), total // (4 * ENTRIES) + 1)
 
     postings = texts.mapInArrow(_prefixes(shared, percent, width, buckets), _POSTING).repartition(buckets, "bucket")
-    edges = postings.mapInArrow(_match, "a long, b long")
-    near = connected_components(edges).withColumnRenamed("component", "comp")
+    found = postings.mapInArrow(_match, "a long, b long, sure boolean")
+    edges = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure")))
 
     to_node = "cast(conv(concat(" + ",".join(f"substring(hex(sig), {2 * i + 1}, 2)" for i in reversed(range(8))) + "), 16, -10) as bigint)"
-    sets = cut(rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    candidates = cut(sets.withColumn("node", F.expr(to_node)).join(near, "node").select("sig", "id", "n", "comp", "node"))
+    known = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    sets = cut(known.withColumn("node", F.expr(to_node)))
+    ends = sets.select(F.col("node").alias("a"), "n", F.col("parity").alias("odd")), sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parity").alias("other"))
+    pairs = edges.filter("not sure").select("a", "b").join(ends[0], "a").join(ends[1], "b")
+    stay = pairs.select("a", "b", "n", "odd", "m", "other").mapInArrow(_near(percent), "a long, b long")
+    near = connected_components(edges.filter("sure").select("a", "b").union(stay)).withColumnRenamed("component", "comp")
+    candidates = cut(sets.join(near, "node").select("sig", "id", "n", "comp", "node"))
     bitmap = spark.sparkContext.broadcast(_gathered(candidates.select("node", "id").mapInArrow(_mark, "part int, cells binary"), "or", BITS // 32))
     units = _units(candidates, percent)
     sets_again = texts.mapInArrow(_sets(bitmap, width), "id long, sig binary, grams binary").withColumnRenamed("id", "__id")

@@ -59,6 +59,47 @@ def test_matches_brute_force(spark, monkeypatch, blocks):
     assert found == brute(rows)
 
 
+def test_shingles_by_chance_make_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELLS", 32)  # as in a large corpus, the sketch can't tell rare shingles apart
+    rng, seen = random.Random(7), []
+    units = ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda candidates, percent: seen.append(candidates.count()) or units(candidates, percent))
+    passages = [[f"p{k}x{i}" for i in range(30)] for k in range(60)]
+    rows = []
+    for k in range(60):
+        own = [f"o{k}x{i}" for i in range(rng.randint(90, 120))]
+        rows.append((k, " ".join(own + passages[k] + passages[(k + 1) % 60])))
+    rows.append((99, rows[5][1] + " tail"))
+    found = sorted(tuple(r) for r in ngram_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == brute(rows)
+    assert 2 <= seen[0] < 10
+
+
+@pytest.mark.parametrize("few", [1, 2, 5])
+def test_pairs_and_runs_match_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "ENTRIES", 300)
+    monkeypatch.setattr(ngram_join, "CELLS", 32)
+    rows = corpus(random.Random(20 + few), 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in ngram_join.shingle_components(docs).collect()) == brute(rows)
+
+
+def test_parities_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for _ in range(3000):
+        n, m, both = rng.integers(1, 300), rng.integers(0, 60), rng.integers(0, 60)
+        s = rng.integers(0, 1 << 63, n + m + both, dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(s[: n + m]), np.unique(np.concatenate([s[:n], s[n + m :]]))
+        shared = len(np.intersect1d(a, b))
+        linked = 100 * shared >= 75 * (len(a) + len(b) - shared)
+        may = ngram_join._may_link(len(a), ngram_join._parity(a), len(b), ngram_join._parity(b), 75)
+        assert may or not linked
+        ruled_out += not may
+    assert ruled_out > 500
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "One two"), (9, "one TWO"), (9, "one TWO"), (None, "one two"), (None, "alone here"), (3, "x " * 30_000)]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, id int")
