@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import cut, read
 from graphloom.llm.cotraining import classify_quality
 from graphloom.llm.line_dedup import dedup_lines
-from graphloom.llm.ngram_join import shingle_components
+from graphloom.llm.ngram_join import bitmap, in_bitmap, shingle_components
 from graphloom.llm.packing import pack_documents, word_tokenizer
 from graphloom.llm.queries import tokenizer_path
 from graphloom.llm.secret_scan import find_secrets, redact
@@ -56,11 +56,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each component of the n-gram join; documents that link with nothing stay."""
+    """The document of least doc_id of each component of the n-gram join; documents that link with nothing stay.
+
+    Texts aren't shuffled but for those that go or repeat, and a few others: a bitmap of fixed size tells the rest.
+    """
     keyed = _with_key(docs)
-    classes = shingle_components(keyed, extra=("__key",)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = classes.select(F.col("doc_id").alias("id"), F.col("__key").alias("key")).distinct()
-    return _only(keyed, kept).dropDuplicates(["doc_id", "__key"]).select(*COLUMNS)
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    rows = shingle_components(keyed, extra=("__key",)).groupBy("doc_id", "__key").agg(F.count("*").alias("many"), F.max(least).alias("stays"))
+    rows = cut(rows.select(F.col("doc_id").alias("id"), F.col("__key").alias("node"), "many", "stays"))
+    marks = spark.sparkContext.broadcast(bitmap(rows.filter("not stays or many > 1")))
+    marked = in_bitmap(marks, F.col("__key"), F.col("doc_id"))
+    # Equality by columns that are never null, so that rows that repeat lie together after the join already.
+    key = ["__key", "__id", "__none"]
+    own = [F.coalesce(F.col("id"), F.lit(0)).alias("__id"), F.col("id").isNull().alias("__none")]
+    kept = rows.filter("stays").select(F.col("node").alias("__key"), *own).hint("shuffle_hash")
+    looked_at = keyed.filter(marked).withColumn("id", F.col("doc_id").cast("long")).select("*", *own)
+    return keyed.filter(~marked).select(*COLUMNS).union(looked_at.join(kept, key, "left_semi").dropDuplicates(key).select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_width
@@ -184,6 +184,22 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _part(p, cells[p * step : (p + 1) * step])
 
 
+def bitmap(marked: DataFrame) -> np.ndarray:
+    """The bitmap of the pairs (node, id) of marked, two longs of which id may be null."""
+    return _gathered(marked.select("node", "id").mapInArrow(_mark, "part int, cells binary"), "or", BITS // 32)
+
+
+def in_bitmap(shared, node: Column, doc_id: Column) -> Column:
+    """True for the pairs of a bitmap that is broadcast, and by chance for others."""
+
+    @F.arrow_udf("boolean")
+    def found(nodes: pa.Array, ids: pa.Array) -> pa.Array:
+        bit = _bit(*(c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (nodes, ids)))
+        return pa.array((shared.value[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool))
+
+    return found(node, doc_id.cast("long"))
+
+
 def _bound(size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
     """The largest size of a partner, not below size, with which a set's shingle at place may be the first common one.
 
@@ -492,9 +508,9 @@ def shingle_components(
     stay = pairs.select("a", "b", "n", "odd", "m", "other").mapInArrow(_near(percent), "a long, b long")
     near = connected_components(edges.filter("sure").select("a", "b").union(stay)).withColumnRenamed("component", "comp")
     candidates = cut(sets.join(near, "node").select("sig", "id", "n", "comp", "node"))
-    bitmap = spark.sparkContext.broadcast(_gathered(candidates.select("node", "id").mapInArrow(_mark, "part int, cells binary"), "or", BITS // 32))
+    marks = spark.sparkContext.broadcast(bitmap(candidates))
     units = _units(candidates, percent)
-    sets_again = texts.mapInArrow(_sets(bitmap, width), "id long, sig binary, grams binary").withColumnRenamed("id", "__id")
+    sets_again = texts.mapInArrow(_sets(marks, width), "id long, sig binary, grams binary").withColumnRenamed("id", "__id")
     wanted = sets_again.join(units, "sig").filter(F.col("__id").eqNullSafe(F.col("id")))
     grams = wanted.select(F.explode("units").alias("u"), "sig", "grams").select("u.unit", "u.side", "u.many", "sig", "grams")
     links = cut(
